@@ -250,7 +250,7 @@ def content(columns: list[str], kinds: dict[str, str]) -> Column:
 
 def flat(changes: Changes) -> DataFrame:
     """All changes of a batch as ``table, key, deleted, content``, and the fate of every event."""
-    found = changes.outcomes.select(
+    found = None if changes.outcomes is None else changes.outcomes.select(
         F.lit("outcome").alias("table"), F.col("seq").cast("string").alias("key"), F.lit(False).alias("deleted"),
         F.concat_ws("|", "op", "outcome").alias("content"))
     for name, delta in changes.tables.items():
@@ -258,7 +258,8 @@ def flat(changes: Changes) -> DataFrame:
         kinds = dict(delta.dtypes)
         order = [c.split()[0] for c in spec.TABLE_SCHEMAS[name].split(", ")]
         columns = [c for c in order if c in kinds and c != key and c not in _SKIPPED]
-        found = found.unionByName(delta.select(
+        part = delta.select(
             F.lit(name).alias("table"), F.col(key).cast("string").alias("key"), F.col("_deleted").alias("deleted"),
-            F.when(F.col("_deleted"), "").otherwise(content(columns, kinds)).alias("content")))
+            F.when(F.col("_deleted"), "").otherwise(content(columns, kinds)).alias("content"))
+        found = part if found is None else found.unionByName(part)
     return found

@@ -166,10 +166,8 @@ def migrate_all(
 MIGRATIONS = {MIGRATION_NAME: migrate_all}
 
 
-def pending(ledger: DataFrame, names: list[str]) -> DataFrame:
-    """Migrations that the ledger does not list yet."""
-    spark = ledger.sparkSession
-    wanted = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "MigrationName string, position int")
+def pending(ledger: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Migrations (``MigrationName, position``) that the ledger does not list yet."""
     return wanted.join(ledger.select("MigrationName"), "MigrationName", "left_anti")
 
 
@@ -179,7 +177,8 @@ def run_pending(
     """Run what the ledger does not list, in order, and add it to the ledger."""
     migrations = MIGRATIONS if migrations is None else migrations
     now = F.current_timestamp() if now is None else now
-    names = [r["MigrationName"] for r in pending(state["migration_ledger"], list(migrations)).orderBy("position").collect()]
+    wanted = state.spark.createDataFrame([(n, i) for i, n in enumerate(migrations)], "MigrationName string, position int")
+    names = [r["MigrationName"] for r in pending(state["migration_ledger"], wanted).orderBy("position").collect()]
     for name in names:
         state = migrations[name](state, now)
         entry = state.spark.range(1).select(F.lit(name).alias("MigrationName"), now.cast("timestamp").alias("AppliedOn"))
