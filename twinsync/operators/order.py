@@ -34,40 +34,39 @@ def dependency_order(
     """
     edges = classify.edges(groups)
     ranks = classify.levels(groups)
-    slim = events.select(
-        "seq", F.upper("entity").alias("type"), "aggregate_id",
-        *[F.when(F.upper("entity") == child, foreign_id(F.col("payload"), field, ignore_case)).alias(f"fk{i}")
-          for i, (child, _, field) in enumerate(edges)],
-    )
     first: dict[str, DataFrame] = {}
-    placed: DataFrame | None = None
     own = F.array(F.col("seq"))
+    ordered = []
     for type_ in sorted(ranks, key=ranks.get):
-        mine = slim.where(F.col("type") == type_)
-        above = [(i, parent) for i, (child, parent, _) in enumerate(edges) if child == type_]
-        for i, parent in above:
-            mine = mine.join(first[parent].select(F.col("id").alias(f"fk{i}"), F.col("place").alias(f"p{i}")), f"fk{i}", "left")
-        if above:
-            last = F.col(f"p{above[0][0]}")
-            if len(above) > 1:
-                last = F.greatest(*[F.col(f"p{i}") for i, _ in above])
-            count = sum((F.col(f"p{i}").isNotNull().cast("int") for i, _ in above), F.lit(0))
-            level = F.when(last.isNull(), 0).otherwise(last["level"] + 1)
-            path = F.when(last.isNull(), own).otherwise(F.concat(last["path"], own))
-        else:
-            count, level, path = F.lit(0), F.lit(0), own
-        mine = mine.select(
-            "seq", "aggregate_id", F.struct(level.cast("int").alias("level"), path.alias("path")).alias("place"),
-            count.cast("int").alias("parents"),
-        )
+        mine = events.where(F.upper("entity") == type_)
+        parents = []
+        for i, (child, parent, field) in enumerate(edges):
+            if child == type_:
+                above = first[parent].select(F.col("id").alias(f"_fk{i}"), F.col("place").alias(f"_p{i}"))
+                mine = mine.withColumn(f"_fk{i}", foreign_id(F.col("payload"), field, ignore_case))
+                mine = mine.join(above, f"_fk{i}", "left")
+                parents.append(F.col(f"_p{i}"))
+        last = F.greatest(*parents) if len(parents) > 1 else parents[0] if parents else None
+        count = sum((p.isNotNull().cast("int") for p in parents), F.lit(0))
+        mine = mine.select(*events.columns, _place(last, own).alias("place"), count.alias("parents"))
         if any(parent == type_ for _, parent, _ in edges):
             first[type_] = mine.groupBy(F.col("aggregate_id").alias("id")).agg(F.min_by("place", "seq").alias("place"))
-        mine = mine.select("seq", "place", "parents")
-        placed = mine if placed is None else placed.unionByName(mine)
-    known = F.coalesce(F.col("type").isin(list(ranks)), F.lit(False))
-    others = slim.where(~known).select(
-        "seq", F.struct(F.lit(0).alias("level"), own.alias("path")).alias("place"), F.lit(0).alias("parents"))
-    return events.join(placed.unionByName(others), "seq")
+        ordered.append(mine)
+    known = F.coalesce(F.upper("entity").isin(list(ranks)), F.lit(False))
+    ordered.append(events.where(~known).select("*", _place(None, own).alias("place"), F.lit(0).alias("parents")))
+    result = ordered[0]
+    for part in ordered[1:]:
+        result = result.unionByName(part)
+    return result
+
+
+def _place(last: Column | None, own: Column) -> Column:
+    """Below the last parent emitted, or on the first level."""
+    top = F.struct(F.lit(0).alias("level"), own.alias("path"))
+    if last is None:
+        return top
+    below = F.struct((last["level"] + 1).alias("level"), F.concat(last["path"], own).alias("path"))
+    return F.when(last.isNull(), top).otherwise(below)
 
 
 def not_emitted(events: DataFrame, emitted: DataFrame) -> DataFrame:
