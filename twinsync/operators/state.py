@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,19 +11,25 @@ from twinsync import spec
 
 
 class State:
-    """Current tables of both sides by name; a table nobody set is empty."""
+    """Current tables of both sides by name; a table nobody set is opened on first use, or empty."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame] | None = None):
+    def __init__(
+        self, spark: SparkSession, tables: dict[str, DataFrame] | None = None,
+        opener: Callable[[str], DataFrame] | None = None,
+    ):
         self.spark = spark
         self.tables = dict(tables or {})
+        self.opener = opener
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.tables:
-            self.tables[name] = self.spark.createDataFrame([], spec.TABLE_SCHEMAS[name])
+            empty = self.opener is None
+            self.tables[name] = (
+                self.spark.createDataFrame([], spec.TABLE_SCHEMAS[name]) if empty else self.opener(name))
         return self.tables[name]
 
     def replace(self, **tables: DataFrame) -> State:
-        return State(self.spark, {**self.tables, **tables})
+        return State(self.spark, {**self.tables, **tables}, self.opener)
 
 
 @dataclass

@@ -7,6 +7,7 @@ broadcasts the looked-up side when its size allows and sorts or hashes otherwise
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from twinsync import spec
 from twinsync.functions.addresses import EXACT, IGNORE_CASE, address_key
 from twinsync.functions.keys import surrogate_key
 from twinsync.operators.state import State
-from twinsync.session import cut
+from twinsync.session import cut, together
 
 # Invoices rank after all customers when the first spelling of an address is chosen.
 _INVOICE_RANK = 1 << 62
@@ -151,8 +152,8 @@ def migrate_all(
 ) -> State:
     """All four steps as one migration; ``store`` writes each new table and reads it back."""
     for step in STEPS:
-        for name, rows in step(state, now).items():
-            stored = store(rows)
+        made = step(state, now)
+        for name, stored in zip(made, together(*[partial(store, rows) for rows in made.values()])):
             if name in _REQUIRED:
                 orphans = missing_parents(stored, _REQUIRED[name])
                 if not orphans.isEmpty():

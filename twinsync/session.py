@@ -11,11 +11,15 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
@@ -68,6 +72,20 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def together(*actions: Callable[[], T]) -> list[T]:
+    """Run independent Spark actions side by side; small jobs then share the cluster instead of queueing."""
+    folder = getattr(_scope, "folder", None)
+
+    def run(action: Callable[[], T]) -> T:
+        _scope.folder = folder
+        return action()
+
+    if not actions:
+        return []
+    with ThreadPoolExecutor(max_workers=min(8, len(actions))) as pool:
+        return list(pool.map(run, actions))
+
+
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Tables cut inside the scope are dropped at its end."""

@@ -11,11 +11,14 @@ On a catalog with row-level writes, ``commit`` is one MERGE per table instead.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsync import spec
 from twinsync.operators.state import Changes, State
+from twinsync.session import together
 
 _AUDIT = "batch bigint, kind string, at timestamp, events bigint, applied bigint, held bigint, dead bigint"
 
@@ -78,8 +81,9 @@ class TableStore:
         return kept.unionByName(latest.where("not _deleted").drop("_deleted"), allowMissingColumns=True)
 
     def state(self) -> State:
+        """All tables as of the last committed batch; each is opened when it is first used."""
         snapshot, batches = self._committed()
-        return State(self.spark, {t: self._read(t, snapshot, batches) for t in spec.TABLE_KEYS if self.exists(t)})
+        return State(self.spark, opener=lambda table: self._read(table, snapshot, batches))
 
     def last_batch(self) -> int | None:
         return self.audit().where("kind = 'batch'").agg(F.max("batch")).first()[0]
@@ -97,12 +101,14 @@ class TableStore:
 
     def write_step(self, changes: Changes, batch: int, step: int) -> Changes:
         """Write one step's changes and continue from the written tables."""
-        written = {}
-        for name, delta in changes.tables.items():
-            path = f"{self.root}/{name}/batch={batch}/step={step}"
+        def write(name: str) -> DataFrame:
+            delta, path = changes.tables[name], f"{self.root}/{name}/batch={batch}/step={step}"
             delta.write.mode("overwrite").parquet(path)
-            written[name] = self.spark.read.schema(delta.schema).parquet(path)
-        return Changes(written, changes.outcomes)
+            return self.spark.read.schema(delta.schema).parquet(path)
+
+        names = list(changes.tables)
+        written = together(*[partial(write, name) for name in names])
+        return Changes(dict(zip(names, written)), changes.outcomes)
 
     def write_rows(self, rows: DataFrame, name: str, batch: int) -> DataFrame:
         """Write a batch's part of an append-only or per-batch table (events, dead letters, held events)."""
@@ -133,9 +139,10 @@ class TableStore:
 
     def snapshot(self, state: State, batch: int) -> None:
         """Write whole tables as the new snapshot (start-up, and compaction after many batches)."""
-        for name in spec.TABLE_KEYS:
-            if name in state.tables:
-                state[name].write.mode("overwrite").parquet(f"{self.root}/{name}/snapshot={batch}")
+        together(*[
+            partial(rows.write.mode("overwrite").parquet, f"{self.root}/{name}/snapshot={batch}")
+            for name, rows in state.tables.items()
+        ])
         self.commit(batch, kind="snapshot")
 
     def compact(self) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,7 +12,7 @@ from twinsync import spec
 from twinsync.functions.envelope import envelope_property, event_time
 from twinsync.operators.state import Changes
 from twinsync.plans.batch import run_batch
-from twinsync.session import scratch_scope
+from twinsync.session import scratch_scope, together
 from twinsync.sources.tables import TableStore
 
 
@@ -60,13 +62,13 @@ class SchemaSync:
             return store.write_step(changes, batch, step)
 
         result = run_batch(store.state(), texts, held, now, self.timeout_seconds, write)
-        store.write_rows(result.documents, "event_store", batch)
-        kept = store.write_rows(result.held, "held", batch)
-        dead = store.write_rows(result.dead, "dead_letter", batch)
-        counts = {"events": result.counts["events"], "held": kept.count(), "dead": dead.count()}
+        rows = {"event_store": result.documents, "held": result.held, "dead_letter": result.dead}
         if result.outcomes is not None:
-            fates = store.write_rows(result.outcomes, "outcomes", batch)
-            counts["applied"] = fates.where("outcome = 'applied'").count()
+            rows["outcomes"] = result.outcomes
+        written = dict(zip(rows, together(*[partial(store.write_rows, r, name, batch) for name, r in rows.items()])))
+        counts = {"events": result.counts["events"], "held": written["held"].count(), "dead": written["dead_letter"].count()}
+        if "outcomes" in written:
+            counts["applied"] = written["outcomes"].where("outcome = 'applied'").count()
         store.commit(batch, counts)
         self.snapshot_finished = self.snapshot_finished or result.snapshot_finished
 
