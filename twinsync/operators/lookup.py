@@ -28,19 +28,23 @@ def mapping(state: State, entity: str, to_side: str) -> DataFrame:
     return state[f"map_{TABLES[entity]}"].select(F.col(source).alias("key"), F.col(target).alias("target"))
 
 
-def find_targets(state: State, entity: str, to_side: str, keys: DataFrame) -> DataFrame:
-    """``key, target, present`` for every mapped key: its id on the other side, and whether that row exists."""
+def find_targets(state: State, entity: str, to_side: str, keys: DataFrame, with_row: bool = True) -> DataFrame:
+    """``key, target, present`` for every mapped key: its id on the other side, and whether that row exists.
+
+    ``with_row`` adds the stored row itself as ``cur``, so that it is looked up only once.
+    """
     table = f"{to_side}_{TABLES[entity]}"
     mapped = restrict(mapping(state, entity, to_side), keys, "key")
-    rows = state[table].select(F.col(spec.TABLE_KEYS[table]).alias("target"))
-    present = restrict(rows, mapped, "target").withColumn("present", F.lit(True))
-    return mapped.join(present, "target", "left").select("key", "target", F.coalesce("present", F.lit(False)).alias("present"))
+    row = [F.struct("*").alias("cur")] if with_row else []
+    rows = state[table].select(F.col(spec.TABLE_KEYS[table]).alias("target"), F.lit(True).alias("present"), *row)
+    found = mapped.join(restrict(rows, mapped, "target"), "target", "left")
+    return found.select("key", "target", F.coalesce("present", F.lit(False)).alias("present"), *(["cur"] if with_row else []))
 
 
 def with_parent(events: DataFrame, state: State, entity: str, to_side: str, column: str) -> DataFrame:
     """Translate a foreign id: adds ``<column>_target`` and ``<column>_present``."""
     keys = events.select(F.col(column).alias("key")).distinct()
-    found = find_targets(state, entity, to_side, keys).select(
+    found = find_targets(state, entity, to_side, keys, with_row=False).select(
         F.col("key").alias(column),
         F.col("target").alias(f"{column}_target"),
         F.col("present").alias(f"{column}_present"),
