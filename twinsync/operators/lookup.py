@@ -17,9 +17,11 @@ def restrict(base: DataFrame, keys: DataFrame, on: str | list[str]) -> DataFrame
 
     A semi-join: when the batch is small the optimizer broadcasts its keys and the
     table is scanned, not shuffled; later joins then see the small remainder only.
+    Repeated keys are dropped on the map side first, since a hot key on the right of a
+    semi-join cannot be split.
     """
     columns = [on] if isinstance(on, str) else on
-    return base.join(keys.select(*columns), columns, "left_semi")
+    return base.join(keys.select(*columns).distinct(), columns, "left_semi")
 
 
 def mapping(state: State, entity: str, to_side: str) -> DataFrame:

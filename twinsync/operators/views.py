@@ -141,7 +141,7 @@ def delete_customers(state: State, chosen: DataFrame, side: str) -> Changes:
         billed = state["new_invoice"].join(chosen, "CustomerId", "left_anti").select(F.col("BillingAddressId").alias("AddressId"))
         unused = (
             customers.select("AddressId").distinct()
-            .join(rest, "AddressId", "left_anti").join(billed, "AddressId", "left_anti")
+            .join(rest.distinct(), "AddressId", "left_anti").join(billed.distinct(), "AddressId", "left_anti")
         )
         changes.tables["new_address"] = _removal(unused, "AddressId")
     return changes
