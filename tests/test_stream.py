@@ -81,9 +81,9 @@ def test_one_batch_or_many_give_the_same_tables(spark, tmp_path):
     assert {r[2] for r in first["lines"]} == {7, 2}
     assert single.snapshot_finished
 
-    many = SchemaSync(spark, str(tmp_path / "store2"), compact_every=3)
-    for i, start in enumerate(range(0, len(EVENTS), 4)):
-        part = [(t, (start + j) * 2, spec.OLD_TO_NEW) for j, t in enumerate(EVENTS[start:start + 4])]
+    many = SchemaSync(spark, str(tmp_path / "store2"), compact_every=1)
+    for i, start in enumerate(range(0, len(EVENTS), 7)):
+        part = [(t, (start + j) * 2, spec.OLD_TO_NEW) for j, t in enumerate(EVENTS[start:start + 7])]
         many.process(spark.createDataFrame(part, "value string, seq bigint, stream string"), i)
     assert content(many) == first
 
@@ -245,6 +245,9 @@ def test_timeline_export_and_logs(spark, tmp_path):
         "event_id int, aggregate_id int, aggregate_type string, event_type string, payload string, unique_identifier string, created_at string")
     for table in spec.OUTBOX[spec.OLD_TO_NEW].values():
         rows.write.parquet(f"{tmp_path}/{table}")
+    captured = capture.capture_old_customer(old_side(spark)["old_customer"].where("false"), old_side(spark)["old_customer"])
+    outbox.append(captured, f"{tmp_path}/captured")
+    assert outbox.entries(spark.read.parquet(f"{tmp_path}/captured"), "OLD", "captured").count() == 3
     side = outbox.read_side(spark, str(tmp_path), spec.OLD_TO_NEW)
     merged = outbox.timeline(side, side.limit(0))
     outbox.export_timeline(merged, f"{tmp_path}/out")

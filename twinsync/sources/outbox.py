@@ -42,6 +42,11 @@ def read_side(spark: SparkSession, folder: str, source: str, reader=None) -> Dat
     return side_entries({t: read(t) for t in spec.OUTBOX[source].values()}, database)
 
 
+def append(captured: DataFrame, path: str) -> None:
+    """Add captured changes to an outbox table; the identifier serves as the event id."""
+    captured.withColumn("event_id", F.col("unique_identifier")).write.mode("append").parquet(path)
+
+
 def jdbc_reader(spark: SparkSession, url: str, properties: dict[str, str], key: str, bounds: tuple[int, int, int]):
     """Reader for a database side: each table is read in key ranges, one per partition."""
     low, high, parts = bounds

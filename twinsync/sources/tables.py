@@ -22,6 +22,8 @@ from twinsync.session import together
 
 _AUDIT = "batch bigint, kind string, at timestamp, events bigint, applied bigint, held bigint, dead bigint"
 
+_NO_SNAPSHOT = -2  # a start-up snapshot has batch -1
+
 
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
@@ -38,20 +40,42 @@ class TableStore:
         """Has the table a snapshot or changes?"""
         return self._exists(f"{self.root}/{table}")
 
+    # The audit is kept in one folder per snapshot, so that a batch reads the rows since
+    # the last compaction only, however long the stream has run.
+
+    def _snapshot(self) -> int | None:
+        """Batch of the last complete snapshot."""
+        path = f"{self.root}/audit"
+        if not self._exists(path):
+            return None
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        entries = folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(folder)
+        epochs = sorted(int(e.getPath().getName().removeprefix("epoch=")) for e in entries)
+        done = [e for e in epochs if e > _NO_SNAPSHOT and self._exists(f"{path}/epoch={e}/snapshot/_SUCCESS")]
+        return done[-1] if done else None
+
+    def _epoch(self, snapshot: int | None) -> str:
+        return f"{self.root}/audit/epoch={_NO_SNAPSHOT if snapshot is None else snapshot}"
+
     def audit(self) -> DataFrame:
+        """One row per committed batch and per snapshot."""
         path = f"{self.root}/audit"
         if not self._exists(path):
             return self.spark.createDataFrame([], _AUDIT)
-        return self.spark.read.schema(_AUDIT).parquet(f"{path}/*")
+        return self.spark.read.schema(_AUDIT).parquet(f"{path}/*/*")
 
     def _committed(self) -> tuple[int | None, list[int]]:
         """Last snapshot, and the committed batches after it (at most those between two compactions)."""
-        snapshot = self.audit().where("kind = 'snapshot'").agg(F.max("batch")).first()[0]
-        later = self.audit().where("kind = 'batch'").where(F.col("batch") > (-1 if snapshot is None else snapshot))
-        return snapshot, sorted(r["batch"] for r in later.select("batch").distinct().collect())
+        snapshot = self._snapshot()
+        path = self._epoch(snapshot)
+        if not self._exists(path):
+            return snapshot, []
+        rows = self.spark.read.schema(_AUDIT).parquet(f"{path}/*").where("kind = 'batch'")
+        return snapshot, sorted(r["batch"] for r in rows.select("batch").distinct().collect())
 
     def is_committed(self, batch: int) -> bool:
-        return not self.audit().where((F.col("kind") == "batch") & (F.col("batch") == batch)).isEmpty()
+        snapshot, batches = self._committed()
+        return batch in batches or (snapshot is not None and batch <= snapshot)
 
     # Reading ------------------------------------------------------------------
 
@@ -86,7 +110,10 @@ class TableStore:
         return State(self.spark, opener=lambda table: self._read(table, snapshot, batches))
 
     def last_batch(self) -> int | None:
-        return self.audit().where("kind = 'batch'").agg(F.max("batch")).first()[0]
+        snapshot, batches = self._committed()
+        if batches:
+            return batches[-1]
+        return None if snapshot is None or snapshot < 0 else snapshot
 
     def batches_since_snapshot(self) -> int:
         return len(self._committed()[1])
@@ -135,7 +162,8 @@ class TableStore:
             F.lit(batch).cast("bigint").alias("batch"), F.lit(kind).alias("kind"), F.current_timestamp().alias("at"),
             *[F.lit(counts.get(c, 0)).cast("bigint").alias(c) for c in ("events", "applied", "held", "dead")],
         )
-        row.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/audit/{kind}-{batch}")
+        path = f"{self._epoch(batch)}/snapshot" if kind == "snapshot" else f"{self._epoch(self._snapshot())}/batch-{batch}"
+        row.coalesce(1).write.mode("overwrite").parquet(path)
 
     def snapshot(self, state: State, batch: int) -> None:
         """Write whole tables as the new snapshot (start-up, and compaction after many batches)."""
