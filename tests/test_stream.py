@@ -76,7 +76,7 @@ def test_one_batch_or_many_give_the_same_tables(spark, tmp_path):
     write(spark, f"{tmp_path}/one/new", [])
     single = run(spark, tmp_path / "store1", tmp_path / "one", tmp_path / "check1")
     first = content(single)
-    assert [c[1] for c in first["customers"]] == sorted(["Anna", "Bob"], key=[c[1] for c in first["customers"]].index)
+    assert {c[1] for c in first["customers"]} == {"Anna", "Bob"}
     assert len(first["invoices"]) == 1 and len(first["lines"]) == 2 and len(first["addresses"]) == 2
     assert {r[2] for r in first["lines"]} == {7, 2}
     assert single.snapshot_finished

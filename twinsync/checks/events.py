@@ -240,8 +240,8 @@ def live_events(spark: SparkSession, folder: str) -> DataFrame:
     """Changes with their inner payload, as the gate and the sort take them."""
     events = tpch.cdc_event(spark, folder).where("snapshot is null and op <> 'r'")
     kind = F.col("aggregate_type")
-    payload = F.when(kind == "INVOICELINE", tpch._inner_payload("INVOICELINE")).when(
-        kind == "INVOICE", tpch._inner_payload("INVOICE")).otherwise(tpch._inner_payload("CUSTOMER"))
+    payload = F.when(kind == "INVOICELINE", tpch.inner_payload("INVOICELINE")).when(
+        kind == "INVOICE", tpch.inner_payload("INVOICE")).otherwise(tpch.inner_payload("CUSTOMER"))
     return events.select(
         "seq", "created_ts", kind.alias("entity"), "event_type", F.col("aggregate_id").cast("string").alias("aggregate_id"),
         payload.alias("payload"))

@@ -42,7 +42,7 @@ def migrate_invoices(spark: SparkSession, folder: str) -> DataFrame:
 
 def migrate_invoice_lines(spark: SparkSession, folder: str) -> DataFrame:
     state = common.old_state(spark, folder)
-    invoices = migration._mapping(state["old_invoice"], "invoice", "InvoiceId", common.now())
+    invoices = migration.id_mapping(state["old_invoice"], "invoice", "InvoiceId", common.now())
     return migration.migrate_lines(state.replace(map_invoice=invoices), common.now())["new_invoice_line"]
 
 

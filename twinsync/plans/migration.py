@@ -74,7 +74,7 @@ def _address_ids(state: State) -> DataFrame:
         F.min("AddressId").alias("FoundId"))
 
 
-def _mapping(rows: DataFrame, entity: str, key: str, now: Column) -> DataFrame:
+def id_mapping(rows: DataFrame, entity: str, key: str, now: Column) -> DataFrame:
     """Id mapping of all old rows; it needs no join, because the new id is made from the old one."""
     return rows.select(
         F.col(key).alias("OldId"), surrogate_key(entity, key).alias("NewId"),
@@ -92,7 +92,7 @@ def migrate_customers(state: State, now: Column | None = None) -> dict[str, Data
             "FirstName", "LastName", F.coalesce("FoundId", F.lit(spec.ZERO_KEY)).alias("AddressId"), "Phone", "Email",
         )
     )
-    return {"new_customer": rows, "map_customer": _mapping(state["old_customer"], "customer", "CustomerId", now)}
+    return {"new_customer": rows, "map_customer": id_mapping(state["old_customer"], "customer", "CustomerId", now)}
 
 
 def migrate_invoices(
@@ -114,7 +114,7 @@ def migrate_invoices(
             F.coalesce(value, F.lit(0)).cast("decimal(18,3)").alias("TestValue3"),
         )
     )
-    return {"new_invoice": rows, "map_invoice": _mapping(state["old_invoice"], "invoice", "InvoiceId", now)}
+    return {"new_invoice": rows, "map_invoice": id_mapping(state["old_invoice"], "invoice", "InvoiceId", now)}
 
 
 def migrate_lines(state: State, now: Column | None = None) -> dict[str, DataFrame]:
@@ -130,7 +130,7 @@ def migrate_lines(state: State, now: Column | None = None) -> dict[str, DataFram
     )
     return {
         "new_invoice_line": rows,
-        "map_invoice_line": _mapping(state["old_invoice_line"], "invoiceline", "InvoiceLineId", now),
+        "map_invoice_line": id_mapping(state["old_invoice_line"], "invoiceline", "InvoiceLineId", now),
     }
 
 

@@ -111,7 +111,7 @@ def cdc_event(spark: SparkSession, folder: str) -> DataFrame:
 _TABLES = {"CUSTOMER": "customer_outbox", "INVOICE": "invoice_outbox", "INVOICELINE": "invoiceline_outbox"}
 
 
-def _inner_payload(kind: str) -> Column:
+def inner_payload(kind: str) -> Column:
     """The ids an event of each type carries in its payload."""
     quote = F.lit('"')
     if kind == "INVOICELINE":
@@ -134,9 +134,9 @@ def cdc_json(spark: SparkSession, folder: str) -> DataFrame:
     e = cdc_event(spark, folder)
     kind = F.col("aggregate_type")
     inner = (
-        F.when(kind == "INVOICELINE", _inner_payload("INVOICELINE"))
-        .when(kind == "INVOICE", _inner_payload("INVOICE"))
-        .otherwise(_inner_payload("CUSTOMER"))
+        F.when(kind == "INVOICELINE", inner_payload("INVOICELINE"))
+        .when(kind == "INVOICE", inner_payload("INVOICE"))
+        .otherwise(inner_payload("CUSTOMER"))
     )
     escaped = F.concat(F.lit('"'), F.replace(inner, F.lit('"'), F.lit('\\"')), F.lit('"'))
     payload = F.when(F.col("seq") % 2 == 0, inner).otherwise(escaped)
