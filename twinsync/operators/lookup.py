@@ -72,16 +72,20 @@ def dependency_exists(needs: DataFrame, state: State, source: str, parent: str)
 
 
 def known_parents(state: State, source: str, parent: str) -> DataFrame | None:
-    """Ids, as text, that satisfy a dependency on ``parent`` for events of one direction."""
+    """Ids, as text, that satisfy a dependency on ``parent`` for events of one direction.
+
+    Whole tables, lazily: the gate restricts them to the ids a batch asks for before
+    anything is shuffled.
+    """
     if source not in (spec.OLD_TO_NEW, spec.NEW_TO_OLD):
         raise ValueError(f"unknown source {source!r}")
     side = spec.NEW if source == spec.OLD_TO_NEW else spec.OLD
     if parent in TABLES:
-        return mapping(state, parent, side).select(F.col("key").cast("string").alias("dep_id")).distinct()
+        return mapping(state, parent, side).select(F.col("key").cast("string").alias("dep_id"))
     if parent != spec.ADDRESS:
         return None
     if source == spec.NEW_TO_OLD:
-        return state["map_address"].select(F.col("AddressId").alias("dep_id")).distinct()
+        return state["map_address"].select(F.col("AddressId").alias("dep_id"))
     return _old_rows_with_known_address(state)
 
 
