@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from twinsync.llm.common import Pieces, rows_of, small_batches, texts
 
-#: Longer pre-tokens are merged one at a time, in plain lists.
-TOGETHER_BYTES = 64
+#: Longer pre-tokens, and those of a call with few of them, are merged one at a time, in plain lists.
+TOGETHER_BYTES, TOGETHER_WORDS = 64, 64
 _NEVER = np.int64(1) << 62
 
 
@@ -93,7 +93,7 @@ class Merger:
             rank = self.ranks.get(word)
             if rank is not None:
                 out[i] = rank.to_bytes(size, "little")
-            elif len(word) > TOGETHER_BYTES:
+            elif len(word) > TOGETHER_BYTES or len(words) < TOGETHER_WORDS:
                 out[i] = np.array(self._alone(word), kind).tobytes()
             elif word:
                 by_width.setdefault(1 << (len(word) - 1).bit_length(), []).append(i)
@@ -164,6 +164,8 @@ class Merger:
     def _alone(self, word: bytes) -> list[int]:
         """The same for one long pre-token, n log n."""
         n = len(word)
+        if not n:
+            return []
         width = 1 << (n - 1).bit_length()
         ids = self.single[np.frombuffer(word, np.uint8)].tolist()
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
