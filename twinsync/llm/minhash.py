@@ -8,8 +8,9 @@ Signature: a first permutation of 32-bit numbers spreads the shingles, and one s
 permutation, shifted round by k places, gives coordinate k as the minimum over the set.
 Bands of equal coordinates give candidate groups.  Groups are not expanded into pairs: a
 few hubs of a group are compared with the members of other components, members found
-linked are merged, and what is still apart gets more hubs, until every member has been
-compared with, or is connected to, every other.  Only linked pairs decide.
+linked are merged, and what is still apart is grouped anew by its rarest shingles (a filter
+that loses no linked pair) and gets more hubs, until every lead has been compared with, or
+is connected to, every other member of its group.  Only linked pairs decide.
 
 Null and empty texts have an empty set and are linked with nothing.  Rows with one doc_id
 are one document (linked if any of their texts is); a null doc_id is linked with nothing and
@@ -146,12 +147,30 @@ def components(edges: DataFrame) -> DataFrame:
                  .select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
+def rare_groups(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """band, id, lead: each live document under the rarest of its shingles, counted over the live documents.
+
+    Linked sets share at least percent / (100 + percent) of the sum of their sizes.  So, with
+    shingles in one order, the smaller set's first ``size - 2 * percent * size / (100 + percent) + 1``
+    and the larger set's first ``size - percent * size / 100 + 1`` have one in common.  The
+    former are marked as leads: every linked pair has a lead in some group.  No pair is lost,
+    and documents that differ enough by words of their own meet in no group.
+    """
+    spread = cut(sets.join(live, "id", "left_semi").select("id", "size", F.explode("set").alias("band")))
+    counts = spread.groupBy("band").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("id").orderBy("n", "band")
+    ranked = lookup_join(spread, counts, "band", "n").withColumn("_r", F.row_number().over(order))
+    both = 100 + percent
+    return ranked.where(f"n > 1 and _r <= size - (size * {percent} + 99) div 100 + 1").select(
+        "band", "id", "size", F.expr(f"_r <= size - (2 * {percent} * size + {both - 1}) div {both} + 1").alias("lead"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
     rows = cut(sketches(docs))
     some = rows.where("digest is not null and doc_id is not null")
-    classes = cut(some.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("bands").alias("bands")))
-    banded = classes.select("id", F.explode("bands").alias("band"))
+    classes = cut(some.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")))
+    banded = classes.select("id", "size", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("id").alias("hub"), F.max("id").alias("_last")).where("hub < _last").drop("_last")
     members = cut(banded.join(shared, "band"))
 
@@ -163,25 +182,37 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     if copies is not None:
         links = cut(links.union(copies.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))))
     names = components(links)
-    hubs = 1
-    members = members.select("band", "id")
+    hubs, rare = 1, False
+    members = members.select("band", "id", "size", F.lit(True).alias("lead"))
     while True:
-        named = members.join(names, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-        apart = named.groupBy("band").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).where("_a < _b").select("band")
+        if hubs > 1 and not rare:
+            members, rare = cut(rare_groups(members.select("id").distinct(), sets, percent)), True
+        named = members.join(names, "id", "left").select("band", "id", "size", "lead", F.coalesce("component", "id").alias("component"))
+        apart = (named.groupBy("band").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.max("lead").alias("_lead"))
+                 .where("_a < _b and _lead").select("band"))
         members = cut(named.join(apart, "band", "left_semi"))
         if members.isEmpty():
             break
-        order = Window.partitionBy("band").orderBy("id")
-        chosen = cut(members.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= hubs).drop("_n"))
-        pairs = (members.join(chosen.select("band", F.col("id").alias("hub"), F.col("component").alias("other")), "band")
-                 .where("component <> other").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
+        # Hubs of a band: its first leads, taking turns between its components.
+        turn = Window.partitionBy("band", "component").orderBy("id")
+        order = Window.partitionBy("band").orderBy("_turn", "hub")
+        firsts = members.where("lead").select("band", "component", "size", F.col("id").alias("hub"), F.row_number().over(turn).alias("_turn"))
+        chosen = cut(firsts.where(F.col("_turn") <= hubs).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= hubs).drop("_n", "_turn"))
+        # Bands with the same hubs are one band from here on, so a pair that shares many bands is made once.
+        joint = chosen.groupBy("band").agg(F.sort_array(F.collect_list(F.struct("hub", "component", "size"))).alias("hubs"))
+        joint = cut(joint.select("band", F.xxhash64("hubs").alias("joint"), "hubs"))
+        gathered = members.join(joint.select("band", "joint"), "band").groupBy("joint", "id", "component", "size").agg(F.max("lead").alias("lead"))
+        against = joint.groupBy("joint").agg(F.first("hubs").alias("hubs")).select("joint", F.inline("hubs").alias("hub", "other", "most"))
+        alike = (F.least("size", "most") * 100 >= F.greatest("size", "most") * percent) & (F.col("lead") | (F.col("most") <= F.col("size")))
+        pairs = (gathered.join(against, "joint").where((F.col("component") != F.col("other")) & alike)
+                 .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
         found = cut(verified(pairs, sets, percent))
         tested = tested.unionByName(pairs)
         if not found.isEmpty():
             links = links.unionByName(found)
             names = components(links)
-        members = members.join(chosen.select("band", "id"), ["band", "id"], "left_anti").select("band", "id")
+        members = members.join(chosen.select("band", F.col("hub").alias("id")), ["band", "id"], "left_anti").select("band", "id", "size", "lead")
         hubs *= 4
 
     named = classes.drop("bands").join(names, "id", "left").select(
