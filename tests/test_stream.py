@@ -12,7 +12,7 @@ from twinsync.operators.state import Changes, State, merge
 from twinsync.plans.migration import MIGRATION_NAME, MigrationError, migrate_all, run_pending
 from twinsync.sources import logs, outbox, streams
 from twinsync.sources.tables import TableStore
-from twinsync.streaming.sync import SchemaSync, deduplicated
+from twinsync.streaming.sync import SchemaSync
 
 ADDRESS = {"Address": "s", "City": "c", "State": None, "Country": "k", "PostalCode": "1"}
 BILLING = {f"Billing{k.removeprefix('Billing')}": v for k, v in ADDRESS.items()}
@@ -102,7 +102,7 @@ def test_replay_and_crash(spark, tmp_path):
     class Stop(RuntimeError):
         pass
 
-    def fail(*_):
+    def fail(*_, **__):
         raise Stop
 
     commit, sync.store.commit = sync.store.commit, fail
@@ -144,12 +144,45 @@ def test_held_event_is_released_by_its_parent(spark, tmp_path):
     assert len(content(sync)["lines"]) == 1 and sync.store.read_rows("held", 1).count() == 0
 
 
-def test_deduplicated_stream(spark, tmp_path):
-    write(spark, f"{tmp_path}/in", [customer("x", 1), customer("x", 1), customer("y", 2)])
-    stream = deduplicated(streams.file_stream(spark, f"{tmp_path}/in", spec.OLD_TO_NEW))
-    query = stream.writeStream.format("memory").queryName("dedup").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert spark.table("dedup").count() == 2
+def test_no_event_is_dropped_for_its_age_and_repeats_are(spark, tmp_path):
+    sync = SchemaSync(spark, str(tmp_path / "store"))
+    schema = "value string, seq bigint, stream string"
+    late = customer("b", 2).replace("1704716412000", "1704715812000")  # ten minutes before the others
+    for i, texts in enumerate([[customer("a", 1)], [late, customer("a", 1)]]):
+        sync.process(spark.createDataFrame([(t, 10 * i + 2 * j, spec.OLD_TO_NEW) for j, t in enumerate(texts)], schema), i)
+    assert len(content(sync)["customers"]) == 2
+
+
+def test_a_new_checkpoint_on_an_old_store_is_another_run(spark, tmp_path):
+    sync = SchemaSync(spark, str(tmp_path / "store"), compact_every=1)
+    schema = "value string, seq bigint, stream string"
+    sync.process(spark.createDataFrame([(customer("a", 1), 0, spec.OLD_TO_NEW)], schema), 0, "first")
+    sync.process(spark.createDataFrame([(customer("b", 2), 2, spec.OLD_TO_NEW)], schema), 0, "second")
+    sync.process(spark.createDataFrame([(customer("c", 3), 4, spec.OLD_TO_NEW)], schema), 0, "second")  # done already
+    assert len(content(sync)["customers"]) == 2
+
+
+def test_bad_values_become_dead_letters(spark, tmp_path):
+    sync = SchemaSync(spark, str(tmp_path / "store"))
+    schema = "value string, seq bigint, stream string"
+    huge = json.loads(line("l", 1, 10))
+    body = json.loads(huge["payload"]) if isinstance(huge["payload"], str) else huge["payload"]
+    body["Quantity"] = 3000000000
+    huge["payload"] = json.dumps(body) if isinstance(huge["payload"], str) else body
+    far = customer("t", 5).replace("1704716412000", "9223372036854775807")
+    texts = [customer("a", 1), invoice("b", 10, 1), json.dumps(huge), far]
+    sync.process(spark.createDataFrame([(t, 2 * i, spec.OLD_TO_NEW) for i, t in enumerate(texts)], schema), 0)
+    dead = {r["reason"] for r in sync.store.read_rows("dead_letter", 0).collect()}
+    assert dead == {"dead:bad_payload", "dead:bad_time"}
+    assert len(content(sync)["customers"]) == 1 and len(content(sync)["lines"]) == 0
+
+
+def test_a_row_that_returns_to_an_image_gets_new_identifiers(spark):
+    schema = "CustomerId bigint, FirstName string"
+    a, b = spark.createDataFrame([(1, "A")], schema), spark.createDataFrame([(1, "B")], schema)
+    names = [capture.capture_old_customer(x, y, capture=str(i)).first()["unique_identifier"] for i, (x, y) in enumerate([(a, b), (b, a), (a, b)])]
+    again = capture.capture_old_customer(a, b, capture="0").first()["unique_identifier"]
+    assert len(set(names)) == 3 and again == names[0]
 
 
 # Round trip ------------------------------------------------------------------------------------

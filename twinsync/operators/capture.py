@@ -47,11 +47,14 @@ def capture_changes(
     payload: list[str],
     delete_payload: list[str],
     captured_at: Column | None = None,
+    capture: str | None = None,
 ) -> DataFrame:
     """Outbox rows for the difference of two table versions.
 
-    ``unique_identifier`` is made from the row and its image, so capturing the same
-    difference twice gives the same identifiers.
+    ``capture`` names the pair of versions (a sequence number will do).  ``unique_identifier``
+    is made from it, the row and its image: capturing the same pair again gives the same
+    identifiers, and a row that returns to an earlier image gets a new one.  Without a name
+    the time of capture takes its place.
     """
     old = before.select(F.col(key).alias("_key"), F.struct(*before.columns).alias("b"))
     new = after.select(F.col(key).alias("_key"), F.struct(*after.columns).alias("a"))
@@ -65,40 +68,41 @@ def capture_changes(
     body = F.when(F.col("a").isNull(), _payload_of("b", delete_payload, before.columns)).otherwise(
         _payload_of("a", payload, after.columns))
     at = F.current_timestamp() if captured_at is None else captured_at
+    named = F.lit(capture) if capture is not None else at.cast("timestamp").cast("string")
     return joined.select(
         F.coalesce(f"a.{aggregate_column}", f"b.{aggregate_column}").cast("string").alias("aggregate_id"),
         F.lit(aggregate_type).alias("aggregate_type"),
         kind.alias("event_type"),
         body.alias("payload"),
-        F.md5(F.concat_ws("|", F.lit(aggregate_type), F.col("_key").cast("string"), kind, body)).alias("unique_identifier"),
+        F.md5(F.concat_ws("|", named, F.lit(aggregate_type), F.col("_key").cast("string"), kind, body)).alias("unique_identifier"),
         at.cast("timestamp").alias("created_at"),
     )
 
 
-def capture_old_customer(before: DataFrame, after: DataFrame, captured_at: Column | None = None) -> DataFrame:
+def capture_old_customer(before: DataFrame, after: DataFrame, captured_at: Column | None = None, capture: str | None = None) -> DataFrame:
     return capture_changes(
-        before, after, "CustomerId", "CustomerId", spec.CUSTOMER, CUSTOMER_PAYLOAD, ["CustomerId"], captured_at)
+        before, after, "CustomerId", "CustomerId", spec.CUSTOMER, CUSTOMER_PAYLOAD, ["CustomerId"], captured_at, capture)
 
 
-def capture_old_invoice(before: DataFrame, after: DataFrame, captured_at: Column | None = None) -> DataFrame:
+def capture_old_invoice(before: DataFrame, after: DataFrame, captured_at: Column | None = None, capture: str | None = None) -> DataFrame:
     return capture_changes(
-        before, after, "InvoiceId", "InvoiceId", spec.INVOICE, INVOICE_PAYLOAD, ["InvoiceId"], captured_at)
+        before, after, "InvoiceId", "InvoiceId", spec.INVOICE, INVOICE_PAYLOAD, ["InvoiceId"], captured_at, capture)
 
 
-def capture_old_line(before: DataFrame, after: DataFrame, captured_at: Column | None = None) -> DataFrame:
+def capture_old_line(before: DataFrame, after: DataFrame, captured_at: Column | None = None, capture: str | None = None) -> DataFrame:
     """A line's aggregate is its invoice."""
     return capture_changes(
-        before, after, "InvoiceLineId", "InvoiceId", spec.LINE, LINE_PAYLOAD, ["InvoiceLineId"], captured_at)
+        before, after, "InvoiceLineId", "InvoiceId", spec.LINE, LINE_PAYLOAD, ["InvoiceLineId"], captured_at, capture)
 
 
 def capture_new(
-    before: DataFrame, after: DataFrame, entity: str, state: State, captured_at: Column | None = None
+    before: DataFrame, after: DataFrame, entity: str, state: State, captured_at: Column | None = None, capture: str | None = None
 ) -> DataFrame:
     """Changes on the new side: full rows also for deletions, creations only of rows without a mapping."""
     key = spec.ROW_KEY[entity]
     aggregate = "InvoiceId" if entity == spec.LINE else key
     unmapped = _without_mapping(after, before, entity, state)
-    return capture_changes(before, unmapped, key, aggregate, entity, after.columns, before.columns, captured_at)
+    return capture_changes(before, unmapped, key, aggregate, entity, after.columns, before.columns, captured_at, capture)
 
 
 def _without_mapping(after: DataFrame, before: DataFrame, entity: str, state: State) -> DataFrame:

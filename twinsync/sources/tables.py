@@ -11,6 +11,7 @@ On a catalog with row-level writes, ``commit`` is one MERGE per table instead.
 
 from __future__ import annotations
 
+import hashlib
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,7 @@ from twinsync import spec
 from twinsync.operators.state import Changes, State
 from twinsync.session import together
 
-_AUDIT = "batch bigint, kind string, at timestamp, events bigint, applied bigint, held bigint, dead bigint"
+_AUDIT = "batch bigint, kind string, at timestamp, events bigint, applied bigint, held bigint, dead bigint, run string, run_batch bigint"
 
 _NO_SNAPSHOT = -2  # a start-up snapshot has batch -1
 
@@ -73,9 +74,20 @@ class TableStore:
         rows = self.spark.read.schema(_AUDIT).parquet(f"{path}/*").where("kind = 'batch'")
         return snapshot, sorted(r["batch"] for r in rows.select("batch").distinct().collect())
 
-    def is_committed(self, batch: int) -> bool:
-        snapshot, batches = self._committed()
-        return batch in batches or (snapshot is not None and batch <= snapshot)
+    def _runs(self) -> dict[str, int]:
+        """The last committed batch of every run; a compaction carries them on."""
+        path = self._epoch(self._snapshot())
+        if not self._exists(path):
+            return {}
+        rows = self.spark.read.schema(_AUDIT).parquet(f"{path}/*").where("run_batch is not null")
+        return {r["run"]: r["last"] for r in rows.groupBy("run").agg(F.max("run_batch").alias("last")).collect()}
+
+    def number_of(self, run: str, batch: int) -> int | None:
+        """The store's number for a run's batch; None when it is committed.  A run commits its batches in order."""
+        if batch <= self._runs().get(run, -1):
+            return None
+        last = self.last_batch()
+        return batch if last is None else max(batch, last + 1)
 
     # Reading ------------------------------------------------------------------
 
@@ -155,12 +167,15 @@ class TableStore:
         committed = self.audit().where("kind = 'batch'").select("batch").distinct()
         return self.spark.read.option("mergeSchema", True).parquet(path).join(committed, "batch", "left_semi")
 
-    def commit(self, batch: int, counts: dict[str, int] | None = None, kind: str = "batch") -> None:
+    def commit(
+        self, batch: int, counts: dict[str, int] | None = None, kind: str = "batch", run: str = "", run_batch: int | None = None
+    ) -> None:
         """The batch's audit row; written last."""
         counts = counts or {}
         row = self.spark.range(1).select(
             F.lit(batch).cast("bigint").alias("batch"), F.lit(kind).alias("kind"), F.current_timestamp().alias("at"),
             *[F.lit(counts.get(c, 0)).cast("bigint").alias(c) for c in ("events", "applied", "held", "dead")],
+            F.lit(run).alias("run"), F.lit(run_batch).cast("bigint").alias("run_batch"),
         )
         path = f"{self._epoch(batch)}/snapshot" if kind == "snapshot" else f"{self._epoch(self._snapshot())}/batch-{batch}"
         row.coalesce(1).write.mode("overwrite").parquet(path)
@@ -171,6 +186,10 @@ class TableStore:
             partial(rows.write.mode("overwrite").parquet, f"{self.root}/{name}/snapshot={batch}")
             for name, rows in state.tables.items()
         ])
+        for run, last in self._runs().items():
+            path = f"{self._epoch(batch)}/run-{hashlib.md5(run.encode()).hexdigest()}"
+            rows = self.spark.createDataFrame([(batch, "run", None, 0, 0, 0, 0, run, last)], _AUDIT)
+            rows.coalesce(1).write.mode("overwrite").parquet(path)
         self.commit(batch, kind="snapshot")
 
     def compact(self) -> None:

@@ -122,7 +122,7 @@ def routes() -> dict[str, tuple[str, str, str]]:
 
 # Payload fields -------------------------------------------------------------------
 
-# (field, kind); kinds: key, text, int, decimal(n), time(precision).
+# (field, kind); kinds: key, text, int (64 bits), int32, decimal(n), time(precision).
 PAYLOADS = {
     (OLD, CUSTOMER): [
         ("CustomerId", "int"), ("FirstName", "text"), ("LastName", "text"), ("Address", "text"),
@@ -137,7 +137,7 @@ PAYLOADS = {
     ],
     (OLD, LINE): [
         ("InvoiceLineId", "int"), ("InvoiceId", "int"), ("TrackId", "int"),
-        ("UnitPrice", "decimal(6)"), ("Quantity", "int"),
+        ("UnitPrice", "decimal(6)"), ("Quantity", "int32"),
     ],
     (NEW, ADDRESS): [
         ("AddressId", "text"), ("Street", "text"), ("City", "text"), ("State", "text"),
@@ -153,7 +153,7 @@ PAYLOADS = {
     ],
     (NEW, LINE): [
         ("InvoiceLineId", "text"), ("InvoiceId", "text"), ("TrackId", "int"),
-        ("UnitPrice", "decimal(6)"), ("Quantity", "int"),
+        ("UnitPrice", "decimal(6)"), ("Quantity", "int32"),
     ],
 }
 

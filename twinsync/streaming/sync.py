@@ -9,27 +9,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from twinsync import spec
-from twinsync.functions.envelope import envelope_property, event_time
 from twinsync.operators.state import Changes
 from twinsync.plans.batch import run_batch
 from twinsync.session import scratch_scope, together
 from twinsync.sources.tables import TableStore
 
 
-def deduplicated(stream: DataFrame, delay: str = f"{spec.DEPENDENCY_TIMEOUT_SECONDS} seconds") -> DataFrame:
-    """Drop repeated deliveries early; the watermark only bounds how long identifiers are remembered.
+class SchemaSync:
+    """Applies micro-batches to a :class:`TableStore`; a batch that was committed is never applied twice.
 
-    The processed sets catch what comes later than that.
+    Batches are told apart by run and number: a stream that starts again from another
+    checkpoint is another run, so its first batches are not taken for old ones.  Repeated
+    deliveries, however late, are caught by the processed sets; no event is dropped for its age.
     """
-    created = F.get_json_object("value", "$.created_at")
-    timed = stream.withColumn("_time", event_time(created, F.get_json_object("value", "$.source.snapshot")))
-    name = envelope_property(F.col("value"), "unique_identifier")
-    named = timed.withColumn("_name", F.when(name == "", F.concat_ws("|", "stream", F.col("seq").cast("string"))).otherwise(name))
-    return named.withWatermark("_time", delay).dropDuplicatesWithinWatermark(["_name"]).drop("_time", "_name")
-
-
-class SchemaSync:
-    """Applies micro-batches to a :class:`TableStore`; a batch that was committed is never applied twice."""
 
     def __init__(
         self, spark: SparkSession, root: str, timeout_seconds: int = spec.DEPENDENCY_TIMEOUT_SECONDS,
@@ -41,18 +33,19 @@ class SchemaSync:
         self.compact_every = compact_every
         self.snapshot_finished = False
 
-    def process(self, texts: DataFrame, batch: int) -> None:
-        """One micro-batch; the audit row comes last, so a batch that fails half-way is done again."""
+    def process(self, texts: DataFrame, batch: int, run: str = "") -> None:
+        """One micro-batch of a run; the audit row comes last, so a batch that fails half-way is done again."""
         store = self.store
-        if store.is_committed(batch):
+        number = store.number_of(run, batch)
+        if number is None:
             return
-        store.discard(batch)
+        store.discard(number)
         with scratch_scope(self.spark):
-            self._run(texts, batch)
+            self._run(texts, number, run, batch)
         if store.batches_since_snapshot() >= self.compact_every:
             store.compact()
 
-    def _run(self, texts: DataFrame, batch: int) -> None:
+    def _run(self, texts: DataFrame, batch: int, run: str, run_batch_number: int) -> None:
         store = self.store
         previous = store.last_batch()
         held = None if previous is None else store.read_rows("held", previous)
@@ -69,12 +62,12 @@ class SchemaSync:
         counts = {"events": result.counts["events"], "held": written["held"].count(), "dead": written["dead_letter"].count()}
         if "outcomes" in written:
             counts["applied"] = written["outcomes"].where("outcome = 'applied'").count()
-        store.commit(batch, counts)
+        store.commit(batch, counts, run=run, run_batch=run_batch_number)
         self.snapshot_finished = self.snapshot_finished or result.snapshot_finished
 
     def start(
         self, stream: DataFrame, checkpoint: str, interval: str = spec.BATCH_INTERVAL, once: bool = False
     ) -> StreamingQuery:
         """Run on a stream with ``value, seq, stream``; ``once`` takes what is there and stops."""
-        writer = stream.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
+        writer = stream.writeStream.foreachBatch(lambda texts, batch: self.process(texts, batch, checkpoint)).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
