@@ -76,8 +76,15 @@ class PerfectHash:
         return out
 
 
-def index_bytes(keys: np.ndarray, valid: np.ndarray, hashes: np.ndarray, prints: np.ndarray, sizes: np.ndarray) -> bytes:
+def key_hashes(keys: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and fingerprint of keys; the hash is a bijection, so different keys never meet (null is taken for a rare number)."""
+    numbers = np.where(valid, keys, np.int64(-(1 << 63) + 1)).astype(np.int64).view(np.uint64)
+    return mixed(numbers), mixed(numbers ^ np.uint64(0xD6E8FEB86659FD93))
+
+
+def index_bytes(keys: np.ndarray, valid: np.ndarray, sizes: np.ndarray) -> bytes:
     """The ``.mph`` file: documents in shard order in, entries by slot out."""
+    hashes, prints = key_hashes(keys, valid)
     distinct = np.unique(hashes)
     perfect = PerfectHash.of(distinct)
     slot = perfect.slots(hashes)
@@ -107,16 +114,10 @@ class ShardIndex:
                 for i in range(a, b) if int(self.at["fingerprint"][i]) == fingerprint]
 
     def spans(self, hashes: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Offset and length of every document in shard order, by its key."""
-        slot = self.perfect.slots(hashes)
-        start, stop = self.at["first"][slot], self.at["first"][slot + 1]
-        if len(hashes) and (stop - start).max() > 1:  # keys with several rows: the row's own entry
-            place = np.empty(len(hashes), np.int64)
-            place[self.at["ordinal"]] = np.arange(len(hashes))
-            if ((place < start) | (place >= stop)).any():
-                raise ValueError("an index does not belong to its keys")
-        else:
-            place = start
+        """Offset and length of every document in shard order, each found by its key."""
+        place = self.at["first"][self.perfect.slots(hashes)]
+        # Rows of one key stand together, in shard order, in the entries of its slot as in the shard.
+        place = place + np.arange(len(hashes)) - self.at["ordinal"][place]
         if (self.at["fingerprint"][place] != prints).any():
             raise ValueError("an index does not belong to its keys")
         return self.at["offset"][place], self.at["length"][place]
@@ -185,7 +186,7 @@ def write_shards(docs: DataFrame, folder: str, make_encoder: Callable[[], Librar
     """Encode, sort and write; returns the manifest, one row per shard."""
     tie = F.xxhash64("text")
     rows = (texts(docs).withColumn("tie", tie).repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-            .select("doc_id", F.xxhash64("doc_id").alias("hash"), F.xxhash64(F.lit(1), "doc_id").alias("print"), "text"))
+            .select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -204,14 +205,13 @@ def write_shards(docs: DataFrame, folder: str, make_encoder: Callable[[], Librar
                 for ids in code.encode(batch.column("text").slice(start, 250).to_pylist()):
                     stream.write(ids.astype(code.kind).tobytes() + end)
                     sizes.append(len(ids) + 1)
-            columns.append([batch.column("doc_id").fill_null(0).to_numpy(), batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False),
-                            batch.column("hash").to_numpy().view(np.uint64), batch.column("print").to_numpy().view(np.uint64)])
+            columns.append([batch.column("doc_id").fill_null(0).to_numpy(), batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)])
         if stream is None:
             return
         stream.close()
-        keys, valid, hashes, prints = (np.concatenate(c) for c in zip(*columns, strict=True))
+        keys, valid = (np.concatenate(c) for c in zip(*columns, strict=True))
         with store.open_output_stream(f"{draft}.mph") as index:
-            index.write(index_bytes(keys, valid, hashes, prints, np.array(sizes, np.int64)))
+            index.write(index_bytes(keys, valid, np.array(sizes, np.int64)))
         for kind in ("ids", "mph"):
             store.move(f"{draft}.{kind}", f"{base}/{name}.{kind}")
         row = {"shard": task.partitionId(), "file": name, "first_id": int(keys[0]) if valid[0] else None,
@@ -252,14 +252,12 @@ def read_shards(spark: SparkSession, folder: str, kind: str = "<u2") -> DataFram
             for name, before in zip(files, bases, strict=True):
                 index, payload = _open(folder, name)
                 at, wide = index.at, np.dtype(kind)
-                order = np.empty(len(at["ordinal"]), np.int64)
-                order[at["ordinal"]] = np.arange(len(order))
-                for start in range(0, len(order), 4096):
-                    place = order[start:start + 4096]
-                    offset, length = at["offset"][place], at["length"][place]
+                offsets, lengths = index.spans(*key_hashes(at["keys"], at["valid"]))
+                for start in range(0, len(offsets), 4096):
+                    offset, length = offsets[start:start + 4096], lengths[start:start + 4096]
                     sums = [zlib.crc32(np.frombuffer(payload.read_at(int(n) * wide.itemsize, int(o) * wide.itemsize), wide).astype("<u4"))
                             for o, n in zip(offset, length, strict=True)]
-                    part = slice(start, start + len(place))
+                    part = slice(start, start + len(offset))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(at["keys"][part], pa.int64(), mask=~at["valid"][part]), pa.array(offset + before, pa.int64()),
                          pa.array(length, pa.int64()), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
@@ -270,17 +268,18 @@ def read_shards(spark: SparkSession, folder: str, kind: str = "<u2") -> DataFram
 def fetch(keys: DataFrame, folder: str, kind: str = "<u2") -> DataFrame:
     """Keyed access: doc_id and ids of the documents with the given doc_ids; keys that are not there give no row."""
     spark = keys.sparkSession
-    shards = sorted((s.first_id, s.last_id, s.file) for s in manifest(spark, folder).collect() if s.last_id is not None)
-    shards = [(a if a is not None else -(1 << 63), b, f) for a, b, f in shards]
-    asked = keys.select("doc_id", F.xxhash64("doc_id").alias("hash"), F.xxhash64(F.lit(1), "doc_id").alias("print")).where("doc_id is not null")
+    shards = sorted((-(1 << 63) if s.first_id is None else s.first_id, s.last_id, s.file)
+                    for s in manifest(spark, folder).collect() if s.last_id is not None)
+    asked = keys.select("doc_id").where("doc_id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict[str, tuple] = {}
         firsts = [s[0] for s in shards]
         wide = np.dtype(kind)
-        for ids, hashes, prints in rows_of(batches, "doc_id", "hash", "print"):
+        for (ids,) in rows_of(batches, "doc_id"):
             found: list[tuple[int, list[int]]] = []
-            for key, h, p in sorted(zip(ids, hashes, prints, strict=True)):
+            hashes, prints = key_hashes(np.array(ids, np.int64), np.ones(len(ids), bool))
+            for key, h, p in sorted(zip(ids, hashes.tolist(), prints.tolist(), strict=True)):
                 last = bisect.bisect_right(firsts, key) - 1
                 while last >= 0 and shards[last][1] >= key:  # rows of one key may span shards
                     name = shards[last][2]
@@ -289,7 +288,7 @@ def fetch(keys: DataFrame, folder: str, kind: str = "<u2") -> DataFrame:
                             opened.pop(next(iter(opened)))
                         opened[name] = _open(folder, name)
                     index, payload = opened[name]
-                    for _, offset, length in index.find(h % (1 << 64), p % (1 << 64)):
+                    for _, offset, length in index.find(h, p):
                         data = payload.read_at(length * wide.itemsize, offset * wide.itemsize)
                         found.append((key, np.frombuffer(data, wide).tolist()))
                     last -= 1
