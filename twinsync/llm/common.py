@@ -102,7 +102,7 @@ class Pieces:
     changes nothing but speed.
     """
 
-    LIMIT = 500_000
+    LIMIT = 800_000
 
     def __init__(self, pattern: str, encode_words: Callable[[list[str]], list[bytes]]):
         self.matches, self.encode_words = regex.compile(pattern).findall, encode_words

@@ -20,6 +20,7 @@ import bisect
 import io
 import json
 import os
+import struct
 import uuid
 import zlib
 from array import array
@@ -32,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsync.llm.common import Pieces, mixed, rows_of, texts
+from twinsync.llm.common import Pieces, mixed, rows_of, small_batches, texts
 
 _MANIFEST = "shard int, file string, first_id bigint, last_id bigint, n_docs bigint, n_ids bigint"
 
@@ -123,6 +124,9 @@ class ShardIndex:
         return self.at["offset"][place], self.at["length"][place]
 
 
+_pack = [struct.Struct(f"<{n}I").pack for n in range(24)]
+
+
 class LibraryEncoder:
     """The tokenizers library, asked once for every piece of text a worker meets (up to a bound).
 
@@ -151,9 +155,14 @@ class LibraryEncoder:
         one, letters, space = self.library.model.tokenize, self.letters, self.letters[32]
         out = []
         for w in words:
-            plain = w.isascii() and (w[1:] if w[0] == " " else w).isalnum()
-            mapped = w.replace(" ", space) if plain else w.encode().decode("latin-1").translate(letters)
-            out.append(array("I", [t.id for t in one(mapped)]).tobytes())
+            bare = w[1:] if w[0] == " " else w
+            if bare.isalnum() and bare.isascii():
+                mapped = w if bare is w else space + bare
+            else:
+                mapped = w.encode().decode("latin-1").translate(letters)
+            tokens = one(mapped)
+            out.append(_pack[len(tokens)](*[t.id for t in tokens]) if len(tokens) < len(_pack) else
+                       array("I", [t.id for t in tokens]).tobytes())
         return out
 
     def _whole(self, text: str) -> bytes:
@@ -201,8 +210,8 @@ def write_shards(docs: DataFrame, folder: str, make_encoder: Callable[[], Librar
             if not batch.num_rows:
                 continue
             stream = stream or store.open_output_stream(f"{draft}.ids")
-            for start in range(0, batch.num_rows, 250):
-                for ids in code.encode(batch.column("text").slice(start, 250).to_pylist()):
+            for _, bodies in small_batches([None] * batch.num_rows, batch.column("text").to_pylist()):
+                for ids in code.encode(bodies):
                     stream.write(ids.astype(code.kind).tobytes() + end)
                     sizes.append(len(ids) + 1)
             columns.append([batch.column("doc_id").fill_null(0).to_numpy(), batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)])
