@@ -351,6 +351,10 @@ where l.aggregate_type = 'INVOICELINE'""",
 # Streams --------------------------------------------------------------------------------------
 
 
+#: Every event is on one of the two streams.
+_OLD_SIDE = "coalesce(event_type in ('signup', 'view'), false)"
+
+
 def _both(spark: SparkSession, folder: str) -> DataFrame:
     configure(spark)
     events = tpch.table(spark, folder, "events")
@@ -359,7 +363,7 @@ def _both(spark: SparkSession, folder: str) -> DataFrame:
             F.col("props").alias("value"), (F.col("event_id") * 2 + i).alias("seq"), F.lit(source).alias("stream"),
             F.col("user_id").alias("aggregate_id"), F.md5(F.col("event_id").cast("string")).alias("unique_identifier"))
         for i, (source, condition) in enumerate([
-            (spec.OLD_TO_NEW, "event_type in ('signup', 'view')"), (spec.NEW_TO_OLD, "event_type in ('purchase', 'click')")])
+            (spec.OLD_TO_NEW, f"{_OLD_SIDE}"), (spec.NEW_TO_OLD, f"not {_OLD_SIDE}")])
     ]
     return streams.merged(*sides)
 
@@ -376,9 +380,9 @@ def event_store_append(spark: SparkSession, folder: str) -> DataFrame:
     return streams.event_store_rows(_both(spark, folder))
 
 
-_BOTH = {"both_streams": """
-    select props as value, event_id * 2 as seq, 'old_to_new' as stream, user_id, event_id from events where event_type in ('signup', 'view')
-    union all select props, event_id * 2 + 1, 'new_to_old', user_id, event_id from events where event_type in ('purchase', 'click')"""}
+_BOTH = {"both_streams": f"""
+    select props as value, event_id * 2 as seq, 'old_to_new' as stream, user_id, event_id from events where {_OLD_SIDE}
+    union all select props, event_id * 2 + 1, 'new_to_old', user_id, event_id from events where not {_OLD_SIDE}"""}
 ORACLES["merge_two_streams"] = query("select value, seq, stream from both_streams", **_BOTH)
 ORACLES["keyed_queue"] = query("select cast(user_id as varchar) as key, value from both_streams", **_BOTH)
 ORACLES["event_store_append"] = query("""

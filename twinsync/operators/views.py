@@ -73,14 +73,22 @@ def nest_children(
     )
 
 
+def with_pages(headers: DataFrame, pages: DataFrame, owners: DataFrame, key: str) -> DataFrame:
+    """Headers with their pages; a header that owns nothing has one row without a page.
+
+    In an inner join the adaptive skew join may split the pages of a hot parent, which it
+    may not on the right side of a left join.  ``owners`` holds the keys that have pages.
+    """
+    bare = headers.join(owners.select(key).distinct(), key, "left_anti")
+    return headers.join(pages, key).unionByName(bare, allowMissingColumns=True)
+
+
 def invoice_details(invoices: DataFrame, customers: DataFrame, lines: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """Invoice header, customer name and nested lines; the same for the old and the new side."""
     names = customers.select("CustomerId", "FirstName", "LastName")
     nested = nest_children(lines, "InvoiceId", "InvoiceLineId", ["TrackId", "UnitPrice", "Quantity"], page_rows)
-    return (
-        invoices.join(names, "CustomerId", "left").join(nested, "InvoiceId", "left")
-        .withColumnRenamed("children", "lines")
-    )
+    headers = invoices.join(names, "CustomerId", "left")
+    return with_pages(headers, nested.withColumnRenamed("children", "lines"), lines, "InvoiceId")
 
 
 def address_details(state: State, page_rows: int = PAGE_ROWS) -> DataFrame:
@@ -97,7 +105,9 @@ def address_details(state: State, page_rows: int = PAGE_ROWS) -> DataFrame:
         customers.select("AddressId", "page", F.col("children").alias("customers"))
         .join(invoices.select("AddressId", "page", F.col("children").alias("invoices")), ["AddressId", "page"], "full_outer")
     )
-    return state["new_address"].join(lists, "AddressId", "left")
+    owners = state["new_customer"].select("AddressId").distinct().unionByName(
+        state["new_invoice"].select(F.col("BillingAddressId").alias("AddressId")).distinct())
+    return with_pages(state["new_address"], lists, owners, "AddressId")
 
 
 def delete_preview(state: State, chosen: DataFrame) -> DataFrame:
