@@ -81,6 +81,21 @@ def test_token_shards(spark, docs, none, tmp_path):
     assert token_shards.read_shards(spark, str(tmp_path / "b")).count() == 0
 
 
+def test_token_shards_with_wide_ids(spark, docs, tmp_path):
+    class Wide:
+        kind = np.dtype("<u4")
+
+        def encode(self, batch):
+            return [np.arange(len(t), dtype="<u4") + 70_000 for t in batch]
+
+    token_shards.write_shards(docs, str(tmp_path), Wide, 1 << 31, 2)
+    for r in token_shards.read_shards(spark, str(tmp_path)).collect():
+        ids = [*range(70_000, 70_000 + len(next(t for k, t in ROWS if k == r.doc_id) or "")), 1 << 31]
+        assert (r.n_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    asked = spark.createDataFrame([(8,)], "doc_id bigint")
+    assert [list(r.ids) for r in token_shards.fetch(asked, str(tmp_path)).collect()] == [[*range(70_000, 70_007), 1 << 31]]
+
+
 def test_perfect_hash_is_minimal():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64)
     found = token_shards.PerfectHash.of(keys)

@@ -159,7 +159,9 @@ def apply(docs: DataFrame, state: DataFrame, edits: DataFrame, ranks: dict[bytes
         "doc_id", F.lit(2), F.col("seq").cast("bigint"), F.coalesce(F.col("start").cast("bigint"), zero),
         F.coalesce(F.col("length").cast("bigint"), zero), F.coalesce("replacement", F.lit("")), numbers, numbers)
     order = ["doc_id", "kind", "seq", "start", "length", "text"]
-    rows = body.union(kept).union(change).repartition("doc_id").sortWithinPartitions(*order)
+    # Rows without a doc_id are documents of their own, so they need not meet in one task.
+    spread = F.coalesce("doc_id", F.xxhash64("text"))
+    rows = body.union(kept).union(change).repartition(spread).sortWithinPartitions(*order)
     layout = pa.schema([(c, pa.int64()) for c in ("doc_id", "tokens_before", "n_tokens", "n_chars", "n_edits", "recounted_chars")]
                        + [("text", pa.string()), ("leaf_chars", _INT), ("leaf_tokens", _INT)])
 

@@ -9,7 +9,7 @@ constant time and a key that is not there is told by its fingerprint.
 
 Shards are cut by ranges of doc_id and hold documents in ascending order (null first, equal
 ids by a hash of the text).  Files are written under another name and moved when complete,
-and a manifest names those that count: a task that runs twice changes nothing.  Null texts
+and a manifest names those that count and the bytes of an id: a task that runs twice changes nothing.  Null texts
 count as empty and hold the end id alone.  Rows with the same doc_id share a slot and are
 all found.  An empty table gives no shards.
 """
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from twinsync.llm.common import Pieces, mixed, rows_of, small_batches, texts
 
-_MANIFEST = "shard int, file string, first_id bigint, last_id bigint, n_docs bigint, n_ids bigint"
+_MANIFEST = "shard int, file string, first_id bigint, last_id bigint, n_docs bigint, n_ids bigint, id_bytes int"
 
 
 class PerfectHash:
@@ -224,9 +224,10 @@ def write_shards(docs: DataFrame, folder: str, make_encoder: Callable[[], Librar
         for kind in ("ids", "mph"):
             store.move(f"{draft}.{kind}", f"{base}/{name}.{kind}")
         row = {"shard": task.partitionId(), "file": name, "first_id": int(keys[0]) if valid[0] else None,
-               "last_id": int(keys[-1]) if valid[-1] else None, "n_docs": len(keys), "n_ids": int(sum(sizes))}
+               "last_id": int(keys[-1]) if valid[-1] else None, "n_docs": len(keys), "n_ids": int(sum(sizes)),
+               "id_bytes": code.kind.itemsize}
         yield pa.RecordBatch.from_pylist([row], schema=pa.schema([
-            ("shard", pa.int32()), ("file", pa.string()), *[(c, pa.int64()) for c in ("first_id", "last_id", "n_docs", "n_ids")]]))
+            ("shard", pa.int32()), ("file", pa.string()), *[(c, pa.int64()) for c in ("first_id", "last_id", "n_docs", "n_ids")], ("id_bytes", pa.int32())]))
 
     rows.mapInArrow(run, _MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     return manifest(docs.sparkSession, folder)
@@ -243,7 +244,7 @@ def _open(folder: str, name: str) -> tuple[ShardIndex, pa.NativeFile]:
     return index, store.open_input_file(f"{base}/{name}.ids")
 
 
-def read_shards(spark: SparkSession, folder: str, kind: str = "<u2") -> DataFrame:
+def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Every document of every shard through its index: doc_id, start, n_tokens, unsigned CRC-32 of the ids as uint32.
 
     The manifest, one row per shard, is the only thing the driver sees.
@@ -251,16 +252,16 @@ def read_shards(spark: SparkSession, folder: str, kind: str = "<u2") -> DataFram
     shards = sorted(manifest(spark, folder).collect(), key=lambda s: s.shard)
     base, total = [], 0
     for shard in shards:
-        base.append((shard.file, total))
+        base.append((shard.file, total, shard.id_bytes))
         total += shard.n_ids
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
-    plan = spark.createDataFrame(base, "file string, base bigint").repartition(max(1, len(base)))
+    plan = spark.createDataFrame(base, "file string, base bigint, width int").repartition(max(1, len(base)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for files, bases in rows_of(batches, "file", "base"):
-            for name, before in zip(files, bases, strict=True):
+        for files, bases, widths in rows_of(batches, "file", "base", "width"):
+            for name, before, width in zip(files, bases, widths, strict=True):
                 index, payload = _open(folder, name)
-                at, wide = index.at, np.dtype(kind)
+                at, wide = index.at, np.dtype(f"<u{width}")
                 offsets, lengths = index.spans(*key_hashes(at["keys"], at["valid"]))
                 for start in range(0, len(offsets), 4096):
                     offset, length = offsets[start:start + 4096], lengths[start:start + 4096]
@@ -274,24 +275,23 @@ def read_shards(spark: SparkSession, folder: str, kind: str = "<u2") -> DataFram
     return plan.mapInArrow(run, schema)
 
 
-def fetch(keys: DataFrame, folder: str, kind: str = "<u2") -> DataFrame:
+def fetch(keys: DataFrame, folder: str) -> DataFrame:
     """Keyed access: doc_id and ids of the documents with the given doc_ids; keys that are not there give no row."""
     spark = keys.sparkSession
-    shards = sorted((-(1 << 63) if s.first_id is None else s.first_id, s.last_id, s.file)
+    shards = sorted((-(1 << 63) if s.first_id is None else s.first_id, s.last_id, s.file, s.id_bytes)
                     for s in manifest(spark, folder).collect() if s.last_id is not None)
     asked = keys.select("doc_id").where("doc_id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened: dict[str, tuple] = {}
         firsts = [s[0] for s in shards]
-        wide = np.dtype(kind)
         for (ids,) in rows_of(batches, "doc_id"):
             found: list[tuple[int, list[int]]] = []
             hashes, prints = key_hashes(np.array(ids, np.int64), np.ones(len(ids), bool))
             for key, h, p in sorted(zip(ids, hashes.tolist(), prints.tolist(), strict=True)):
                 last = bisect.bisect_right(firsts, key) - 1
                 while last >= 0 and shards[last][1] >= key:  # rows of one key may span shards
-                    name = shards[last][2]
+                    name, wide = shards[last][2], np.dtype(f"<u{shards[last][3]}")
                     if name not in opened:
                         if len(opened) >= 4:
                             opened.pop(next(iter(opened)))
@@ -302,10 +302,10 @@ def fetch(keys: DataFrame, folder: str, kind: str = "<u2") -> DataFrame:
                         found.append((key, np.frombuffer(data, wide).tolist()))
                     last -= 1
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int32()))],
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([x for _, x in found], pa.list_(pa.int64()))],
                                                  names=["doc_id", "ids"])
 
-    return asked.mapInArrow(run, "doc_id bigint, ids array<int>")
+    return asked.mapInArrow(run, "doc_id bigint, ids array<bigint>")
 
 
 def new_folder(scratch: str) -> str:
