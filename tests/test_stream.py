@@ -153,6 +153,34 @@ def test_no_event_is_dropped_for_its_age_and_repeats_are(spark, tmp_path):
     assert len(content(sync)["customers"]) == 2
 
 
+MOVES = [
+    [customer("a", 1), customer("b", 2, first="Bob", Address="t"), invoice("c", 10, 1), invoice("d", 11, 1), line("e", 100, 10), line("f", 101, 11)],
+    # 10 moves away before its customer goes, 11 stays and goes too; 12 is made for a customer who is deleted in the batch.
+    [invoice("g", 10, 2, "u", 2.5), customer("h", 3, first="Cid"), invoice("i", 12, 3), line("j", 102, 12), invoice("k", 12, 2, "u"),
+     customer("l", 1, "d"), customer("m", 3, "d"), line("n", 100, 10, "u", 4)],
+    [invoice("o", 11, 2, "u"), customer("p", 1, "u", "Ann again")],  # too late for both
+]
+
+
+@pytest.mark.parametrize("cuts", [[6, 10], [7, 5]])
+def test_an_invoice_that_moved_before_its_customer_was_deleted_stays(spark, tmp_path, cuts):
+    """The same tables for every cut of the stream; an owner's deletion takes what the owner has by then."""
+    events = [t for part in MOVES for t in part]
+    sync = SchemaSync(spark, str(tmp_path / "store"))
+    start = 0
+    for i, size in enumerate([*cuts, len(events) - sum(cuts)]):
+        part = [(t, (start + j) * 2, spec.OLD_TO_NEW) for j, t in enumerate(events[start:start + size])]
+        if part:
+            sync.process(spark.createDataFrame(part, "value string, seq bigint, stream string"), i)
+        start += size
+    state = sync.store.state()
+    old = {r["NewId"]: r["OldId"] for n in ("customer", "invoice", "invoice_line") for r in state[f"map_{n}"].collect()}
+    assert [old[r["CustomerId"]] for r in state["new_customer"].collect()] == [2]
+    assert {(old[r["InvoiceId"]], old[r["CustomerId"]], r["Total"]) for r in state["new_invoice"].collect()} == {
+        (10, 2, Decimal("2.50")), (12, 2, Decimal("1.50"))}
+    assert {(old[r["InvoiceLineId"]], old[r["InvoiceId"]], r["Quantity"]) for r in state["new_invoice_line"].collect()} == {(100, 10, 4), (102, 12, 1)}
+
+
 def test_a_new_checkpoint_on_an_old_store_is_another_run(spark, tmp_path):
     sync = SchemaSync(spark, str(tmp_path / "store"), compact_every=1)
     schema = "value string, seq bigint, stream string"

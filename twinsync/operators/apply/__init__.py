@@ -6,8 +6,8 @@ Every function takes the state and the typed events of one entity and direction
 
 from twinsync import spec
 from twinsync.operators.apply.address import address_to_new, address_to_old
-from twinsync.operators.apply.customer import customer_to_new, customer_to_old
-from twinsync.operators.apply.invoice import invoice_to_new, invoice_to_old
+from twinsync.operators.apply.customer import customer_to_new, customer_to_old, deletions, remove_customers
+from twinsync.operators.apply.invoice import invoice_to_new, invoice_to_old, without_late_owners
 from twinsync.operators.apply.line import line_to_new, line_to_old
 
 # Parents first: a batch applies the entities of one direction in this order.
@@ -22,6 +22,7 @@ APPLY = {
 }
 
 __all__ = [
-    "APPLY", "address_to_new", "address_to_old", "customer_to_new", "customer_to_old",
-    "invoice_to_new", "invoice_to_old", "line_to_new", "line_to_old",
+    "APPLY", "address_to_new", "address_to_old", "customer_to_new", "customer_to_old", "deletions",
+    "invoice_to_new", "invoice_to_old", "line_to_new", "line_to_old", "remove_customers",
+    "without_late_owners",
 ]
