@@ -1,8 +1,8 @@
 """Registered queries over the given tables, each with its SQL twin."""
 
-from twinsync.checks import apply, capture, events, migration, reports
+from twinsync.checks import apply, capture, events, migration, reports, sync
 
-MODULES = (migration, events, apply, capture, reports)
+MODULES = (migration, events, apply, capture, reports, sync)
 
 
 def all_queries() -> dict:
