@@ -135,6 +135,19 @@ def test_held_event_times_out(spark, tmp_path):
     assert [r["reason"] for r in sync.store.read_rows("dead_letter", 1).collect()] == ["dead:dependency_timeout"]
 
 
+def test_dead_letters_can_be_offered_again(spark, tmp_path):
+    sync = SchemaSync(spark, str(tmp_path / "store"), timeout_seconds=0)
+    schema = "value string, seq bigint, stream string"
+    for i, text in enumerate([line("a", 1, 10), customer("b", 1), invoice("c", 10, 1)]):
+        sync.process(spark.createDataFrame([(text, 2 * i, spec.OLD_TO_NEW)], schema), i)
+    assert content(sync)["lines"] == []
+    sync.reoffer()
+    done = content(sync)
+    assert len(done["lines"]) == 1
+    sync.reoffer()  # the dead letter is still on record, its identifier is known
+    assert content(sync) == done
+
+
 def test_held_event_is_released_by_its_parent(spark, tmp_path):
     sync = SchemaSync(spark, str(tmp_path / "store"))
     schema = "value string, seq bigint, stream string"

@@ -15,6 +15,10 @@ from twinsync.session import scratch_scope, together
 from twinsync.sources.tables import TableStore
 
 
+#: Reasons of dead letters that a parent's arrival may mend.
+WAITED = ("dead:dependency_timeout", "dead:parent_missing")
+
+
 class SchemaSync:
     """Applies micro-batches to a :class:`TableStore`; a batch that was committed is never applied twice.
 
@@ -45,6 +49,19 @@ class SchemaSync:
         if store.batches_since_snapshot() >= self.compact_every:
             store.compact()
 
+    def reoffer(self, reasons: tuple[str, ...] = WAITED) -> None:
+        """Offer dead letters again, as a batch of their own: those whose parent came too late.
+
+        What was applied in the meantime is caught by the processed sets; what still cannot be
+        applied waits anew or becomes a dead letter again.
+        """
+        dead = self.store.all_rows("dead_letter")
+        if dead is None:
+            return
+        texts = dead.where(F.col("reason").isin(*reasons)).select("value", "seq", F.col("source").alias("stream")).distinct()
+        if not texts.isEmpty():
+            self.process(texts, self.store.last_batch() + 1, "reoffer")
+
     def _run(self, texts: DataFrame, batch: int, run: str, run_batch_number: int) -> None:
         store = self.store
         previous = store.last_batch()
