@@ -108,6 +108,7 @@ class Pieces:
         self.matches, self.encode_words = regex.compile(pattern).findall, encode_words
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.edges: dict[str, bytes] = {}  # short first and last pieces
 
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text, as bytes of the encoder's number type."""
@@ -120,16 +121,20 @@ class Pieces:
         lasts = [" " + parts.pop() if parts else "" for parts in split]  # these may begin or end in white space
         if len(self.known) > self.LIMIT:
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older
+        if len(self.edges) > self.LIMIT // 4:
+            self.edges = {}
+        known, older, edges = self.known, self.older, self.edges
         new = list(set().union(*split).difference(known))
         if older:
             again = [word for word in new if word in older]
             known.update(zip(again, map(older.__getitem__, again), strict=True))
             new = [word for word in new if word not in known]
-        odd = list({*firsts, *lasts})
-        ids = self._learn(new, odd)
+        ends = {*firsts, *lasts}
+        odd = [piece for piece in ends if piece not in edges]
+        ids = self._learn(new, odd) if new or odd else []
         known.update(zip(new, ids, strict=False))
-        edge = dict(zip(odd, ids[len(new):], strict=True))
+        edge = {piece: edges[piece] for piece in ends if piece in edges} | dict(zip(odd, ids[len(new):], strict=True))
+        edges.update((piece, edge[piece]) for piece in odd if len(piece) <= 64)
         look = known.__getitem__
         for f, parts, e in zip(firsts, split, lasts, strict=True):
             yield [edge[f], *map(look, parts), edge[e]]
