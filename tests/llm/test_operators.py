@@ -177,6 +177,15 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contaminated(none, benchmark).count() == decontaminate.contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+def test_decontamination_of_many_edited_copies(spark):
+    item = [f"t{i}" for i in range(40)]
+    edited = " ".join("changed" if i % 7 == 6 else w for i, w in enumerate(item))
+    frame = spark.createDataFrame([(i, edited) for i in range(1000)] + [(1000, " ".join(item)), (1001, " ".join(item[:10]))], SCHEMA)
+    benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    found = {r.doc_id: r.score for r in decontaminate.contaminated(frame, benchmark).collect()}
+    assert found == {**{i: 0.8125 for i in range(1000)}, 1000: 1.0}
+
+
 def test_alignment_equals_plain_table():
     rng = np.random.default_rng(4)
     for _ in range(50):

@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs between ASCII white space, case-folded and stripped of marks at both ends.
 One pass over the corpus finds the documents that share a run of four words with a test
-item, and counts in how many documents each such run occurs.  An item's seeds are the rarer
-half of its runs (up to the median count, ties included), a rule without a size in it.  At
-every seed hit the item is aligned with the words around it; the best local alignment, as a
-share of the item's words, is the score.  Copies with words swapped, added or left out
-still align.
+item.  Every such run is a seed, however many other documents hold it, so what is found in
+a document depends on that document and the item alone.  Where the words around a hit hold
+too few of the item's words for any alignment to reach ``THRESHOLD``, it is left at that;
+elsewhere the item is aligned with them, and the best local alignment, as a share of the
+item's words, is the score.  Copies with words swapped, added or left out still align.
 
 Items longer than ``SEGMENT`` words are judged by segment, the best one counts.  Items are
 taken in blocks, so what every executor holds stays bounded however large the benchmark is.
@@ -23,7 +23,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from twinsync.llm.common import WordHashes, gram_hashes, rows_of, texts
 from twinsync.session import cut
@@ -31,7 +30,7 @@ from twinsync.session import cut
 SEED_WORDS = 4
 MIN_WORDS = 5
 SEGMENT = 256
-#: Words of test items that one block may hold; a block is sent to all executors (16 bytes a word).
+#: Words of test items that one block may hold; a block is sent to all executors (32 bytes a word).
 BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Least share of an item's words that an alignment must carry.
@@ -114,43 +113,43 @@ def sharing(docs: DataFrame, grams: np.ndarray) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id bigint, words array<bigint>, places array<bigint>, runs array<bigint>")
 
 
-def rare_seeds(runs_of_items: DataFrame, counts: DataFrame) -> DataFrame:
-    """item_id, seg, run, place: the rarer half of each item's runs that occur in the corpus at all."""
-    found = runs_of_items.join(counts, "run")
-    middle = found.groupBy("item_id", "seg").agg(F.percentile("n_docs", 0.5).alias("middle"))
-    return found.join(middle, ["item_id", "seg"]).where("n_docs <= middle").select("item_id", "seg", "run", "place")
+def windows(item: np.ndarray, body: np.ndarray, begins: set[int]) -> list[tuple[int, int]]:
+    """The parts of ``body`` to align with: around each hit, if enough of the item's words are there; overlapping ones as one."""
+    slack = len(item) // 2 + 2
+    found: list[tuple[int, int]] = []
+    for begin in sorted(begins):
+        a, b = max(0, begin - slack), begin + len(item) + 2 * slack
+        if round(np.isin(item, body[a:b]).sum() / len(item), 4) < THRESHOLD:
+            continue  # an alignment scores a word of the item once at most
+        if found and a <= found[-1][1]:
+            found[-1] = (found[-1][0], b)
+        else:
+            found.append((a, b))
+    return found
 
 
-def _scores(shared: DataFrame, seeds: list, parts: dict) -> DataFrame:
-    by_run: dict[int, list[tuple]] = {}
-    for s in seeds:
-        by_run.setdefault(s.run, []).append(((s.item_id, s.seg), s.place))
-    sent = shared.sparkSession.sparkContext.broadcast((by_run, parts))
+def _scores(shared: DataFrame, seeds: tuple[np.ndarray, ...], parts: list) -> DataFrame:
+    sent = shared.sparkSession.sparkContext.broadcast((seeds, parts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, items = sent.value
+        (known, which, own), items = sent.value
         for keys, many_words, many_places, many_runs in rows_of(batches, "doc_id", "words", "places", "runs"):
             out: list[tuple] = []
             for key, words, places, runs in zip(keys, many_words, many_places, many_runs, strict=True):
-                starts: dict[tuple, set[int]] = {}
-                for place, one in zip(places, runs, strict=True):
-                    for name, own in known.get(one, ()):
-                        starts.setdefault(name, set()).add(place - own)
+                starts: dict[int, set[int]] = {}
+                firsts, ends = (np.searchsorted(known, np.array(runs, np.int64), side).tolist() for side in ("left", "right"))
+                for place, i, j in zip(places, firsts, ends, strict=True):
+                    for part, at in zip(which[i:j].tolist(), own[i:j].tolist(), strict=True):
+                        starts.setdefault(part, set()).add(place - at)
                 body = np.array(words, np.int64)
                 best: dict[int, tuple] = {}
-                for name, begins in starts.items():
-                    item = items[name]
-                    slack = len(item) // 2 + 2
-                    until = -1
-                    for begin in sorted(begins):
-                        if begin + slack < until:
-                            continue  # lies in the window just aligned
-                        a, b = max(0, begin - slack), begin + len(item) + 2 * slack
-                        until = b - len(item)
+                for part, begins in starts.items():
+                    name, item = items[part]
+                    for a, b in windows(item, body, begins):
                         score, end = align(item, body[a:b])
                         share = round(score / len(item), 4)
-                        if share >= THRESHOLD and share > best.get(name[0], (0,))[0]:
-                            best[name[0]] = (share, a + end)
+                        if share >= THRESHOLD and share > best.get(name, (0,))[0]:
+                            best[name] = (share, a + end)
                 out += [(key, item, *found) for item, found in best.items()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
@@ -167,21 +166,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     blocks = total // BLOCK_WORDS + 1
     found = None
 
-    @pandas_udf("array<bigint>")
-    def runs(column):  # noqa: ANN001, ANN202
-        return column.map(lambda w: gram_hashes(np.asarray(w, np.int64).view(np.uint64), SEED_WORDS).view(np.int64))
-
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item_id", "seg"), F.lit(blocks)) == block)
-        listed = cut(own.select("item_id", "seg", F.posexplode(runs("words")).alias("place", "run")))
-        grams = np.unique(np.array([r.run for r in listed.select("run").distinct().collect()], np.int64).view(np.uint64))
-        if not len(grams):
+        parts = [(r.item_id, np.array(r.words, np.int64)) for r in own.collect()]  # of one block, so bounded
+        if not parts:
             continue
-        shared = cut(sharing(docs, grams))
-        counts = shared.select(F.explode(F.array_distinct("runs")).alias("run")).groupBy("run").agg(F.count("*").alias("n_docs"))
-        seeds = rare_seeds(listed, counts).collect()  # of one block, so bounded
-        parts = {(r.item_id, r.seg): np.array(r.words, np.int64) for r in own.collect()}
-        scored = _scores(shared, seeds, parts)
+        listed = [gram_hashes(p.view(np.uint64), SEED_WORDS).view(np.int64) for _, p in parts]
+        runs = np.concatenate(listed)
+        which = np.repeat(np.arange(len(parts), dtype=np.int32), [len(r) for r in listed])
+        places = np.concatenate([np.arange(len(r), dtype=np.int32) for r in listed])
+        order = np.argsort(runs, kind="stable")
+        shared = sharing(docs, np.unique(runs.view(np.uint64)))
+        scored = _scores(shared, (runs[order], which[order], places[order]), parts)
         found = scored if found is None else found.unionByName(scored)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, score double, ends_at_word bigint")
