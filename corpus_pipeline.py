@@ -17,6 +17,10 @@ from twinsync.llm.common import prepared, table
 from twinsync.session import scratch_dir
 
 
+#: Least similarity, in percent, that links two documents in the stage: op3's value, to which the tests hold the stage.
+SIMILAR = 85
+
+
 def _only(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     """The documents whose doc_id is among the keys (left_semi) or not (left_anti); null counts as a key."""
     return docs.join(keys.select(F.col("doc_id").alias("_key")).distinct(), F.col("doc_id").eqNullSafe(F.col("_key")), how)
@@ -40,7 +44,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     prepared(spark)
-    return _only(docs, minhash.near_duplicates(docs).where("not kept"), "left_anti")
+    return _only(docs, minhash.near_duplicates(docs, SIMILAR).where("not kept"), "left_anti")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -138,6 +138,26 @@ def test_near_duplicates(spark, docs, none):
     assert len({r.component_id for r in minhash.near_duplicates(docs).collect()}) == len({name[k] for k, _ in ROWS})
 
 
+@pytest.mark.parametrize("percent, places", [(80, (30, 59)), (60, (2, 15, 40))])
+def test_near_duplicates_at_other_thresholds(spark, percent, places):
+    """Pairs of texts that are just alike enough (0.806 and 0.623): bands made for 85 miss a quarter of the latter."""
+    rows = []
+    for pair in range(60):
+        words = [f"p{pair}x{i}" for i in range(60)]
+        rows += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join("other" if i in places else w for i, w in enumerate(words)))]
+    name, _ = brute_groups(rows, percent)
+    assert len(set(name.values())) == 60
+    found = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA), percent).collect()
+    assert {r.doc_id: r.component_id for r in found} == name
+
+
+def test_bands_follow_the_threshold():
+    assert minhash.layout(85) == (24, 6) and minhash.layout(80) == (29, 5)
+    for percent in range(1, 101):
+        bands, rows = minhash.layout(percent)
+        assert (1 - (percent / 100) ** rows) ** bands <= 1.2e-5
+
+
 def test_rare_groups_lose_no_linked_pair(spark):
     rng = random.Random(5)
     sets = {i: sorted(rng.sample(range(40), rng.randint(20, 36))) for i in range(60)}

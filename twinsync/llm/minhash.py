@@ -19,6 +19,7 @@ kept.  Columns other than doc_id and text are ignored; an empty table gives no r
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,10 @@ from twinsync.llm.common import WordHashes, gram_hashes, lookup_join, mixed, row
 from twinsync.session import cut
 
 WORDS = 5
-#: 24 bands of 6: a pair at the least similarity of 0.85 shares no band once in 85,000 times.
-BANDS, ROWS = 24, 6
+#: How often a pair at the least similarity may share no band: 24 bands of 6 at 0.85, 29 of 5 at 0.80.
+MISSED = 1.2e-5
+#: Coordinates of a signature; only similarities that need more bands of one get more.
+COORDINATES = 150
 #: Up to so many document ids may be sent to all executors (8 bytes each); beyond it they are joined by a shuffle.
 SENT_IDS = 2_000_000
 _BLOCK = 512
@@ -57,7 +60,21 @@ def _shuffled(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def signature(hashes: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
+def layout(percent: int) -> tuple[int, int]:
+    """Bands and coordinates a band: the longest bands that miss a pair at ``percent`` as seldom as stated."""
+    if not 0 < percent <= 100:
+        raise ValueError(f"{percent} is not a percentage above 0")
+    found = None
+    for rows in range(1, COORDINATES + 1):
+        meets = (percent / 100) ** rows
+        bands = math.ceil(math.log(MISSED) / math.log1p(-meets)) if meets < 1 else 1
+        if found and bands * rows > COORDINATES:
+            break
+        found = bands, rows
+    return found
+
+
+def signature(hashes: np.ndarray, size: int) -> np.ndarray:
     """Coordinate k: the least of the second permutation, shifted by k, over the spread set."""
     spread = mixed(hashes).astype(np.uint32)  # the first permutation
     shift = np.arange(size, dtype=np.uint32) * np.uint32(0x9E3779B1)  # one permutation, turned k equal steps
@@ -67,17 +84,19 @@ def signature(hashes: np.ndarray, size: int = BANDS * ROWS) -> np.ndarray:
     return least
 
 
-def band_keys(least: np.ndarray) -> np.ndarray:
+def band_keys(least: np.ndarray, bands: int) -> np.ndarray:
     """One 64-bit key a band, distinct between bands."""
-    grid = least.reshape(BANDS, ROWS).astype(np.uint64)
-    key = np.arange(BANDS, dtype=np.uint64)
+    grid = least.reshape(bands, -1).astype(np.uint64)
+    key = np.arange(bands, dtype=np.uint64)
     for column in grid.T:
         key = mixed(key + column + np.uint64(0x9E3779B97F4A7C15))
     return key
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, percent: int) -> DataFrame:
     """doc_id, n_shingles, digest of the set (null when empty), band keys."""
+    n_bands, n_rows = layout(percent)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, bodies in rows_of(batches, "doc_id", "text"):
             counts, digests, bands = [], [], []
@@ -85,7 +104,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 found = shingles(text)
                 counts.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                bands.append(band_keys(signature(found)).view(np.int64) if len(found) else [])
+                bands.append(band_keys(signature(found, n_bands * n_rows), n_bands).view(np.int64) if len(found) else [])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
                  pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
@@ -167,7 +186,7 @@ def rare_groups(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row."""
-    rows = cut(sketches(docs))
+    rows = cut(sketches(docs, percent))
     some = rows.where("digest is not null and doc_id is not null")
     classes = cut(some.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands")))
     banded = classes.select("id", "size", F.explode("bands").alias("band"))
