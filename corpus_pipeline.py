@@ -21,18 +21,13 @@ from twinsync.session import scratch_dir
 SIMILAR = 85
 
 
-def _only(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    """The documents whose doc_id is among the keys (left_semi) or not (left_anti); null counts as a key."""
-    return docs.join(keys.select(F.col("doc_id").alias("_key")).distinct(), F.col("doc_id").eqNullSafe(F.col("_key")), how)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that could be told; those without one go."""
     prepared(spark)
     filters = langid.learn(docs)
     if not filters.languages:
         return docs
-    return _only(docs, langid.identify(docs, filters).where("lang_pred = 'und'"), "left_anti")
+    return docs.where(langid.predicted(F.col("text"), filters) != "und")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,13 +39,18 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     prepared(spark)
-    return _only(docs, minhash.near_duplicates(docs, SIMILAR).where("not kept"), "left_anti")
+    gone = minhash.near_duplicates(docs, SIMILAR).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")  # a null doc_id is always kept
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a copy of a benchmark item."""
+    """Documents without a copy of a benchmark item; a text goes alone, whatever else has its doc_id."""
     prepared(spark)
-    return _only(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")), "left_anti")
+    found = decontaminate.copies(docs, table(spark, sf_dir, "benchmark"))
+    keys = found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_found")).distinct()
+    marked = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_found"))
+    return marked.join(keys, same, "left_anti").drop("_digest")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -356,3 +356,19 @@ def test_pipeline(spark, data, tmp_path):
             assert not any(" ".join(plain(i)) in " ".join(plain(t)) for i in items for t in now.values())
             assert len(now) >= 0.9 * len(kept)
         docs, kept = after, now
+
+
+def test_pipeline_judges_each_text_with_null_and_repeated_ids(spark, data):
+    item = common.table(spark, data, "benchmark").first().text
+    docs = common.table(spark, data, "documents").select("doc_id", "text", "lang")
+    clean = [(None, "a clean text without an id", None), (None, "another clean text", None), (900_001, "a clean text of a repeated id", None)]
+    left = lambda found: sorted(((r.doc_id, r.text) for r in found.collect()), key=str)
+    expected = sorted(((k, t) for k, t, _ in clean), key=str)
+
+    bad = [(None, ""), (None, None), (900_001, "123 !!"), (900_002, "")]
+    frame = spark.createDataFrame(clean + [(*b, None) for b in bad], docs.schema).unionByName(docs.where("text rlike '[a-z]'"))
+    found = corpus_pipeline.language(spark, frame, data)
+    assert left(found.where("doc_id is null or doc_id > 900000")) == expected
+    bad = [(None, f"see {item} above"), (900_001, item), (900_002, item)]
+    frame = spark.createDataFrame(clean + [(*b, None) for b in bad], docs.schema)
+    assert left(corpus_pipeline.clean(spark, frame, data)) == expected

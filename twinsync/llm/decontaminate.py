@@ -16,6 +16,7 @@ from chance), match nothing.  Columns other than the key and text are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,7 @@ BLOCK_WORDS = 1_000_000
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 #: Least share of an item's words that an alignment must carry.
 THRESHOLD = 0.5
+FOUND = "doc_id bigint, digest binary, item_id bigint, score double, ends_at_word bigint"
 
 
 class PlainWords(WordHashes):
@@ -92,7 +94,7 @@ def segments(items: DataFrame) -> DataFrame:
 
 
 def sharing(docs: DataFrame, grams: np.ndarray) -> DataFrame:
-    """Documents with a run of words from ``grams`` (sorted): doc_id, words, places and runs of the hits."""
+    """Documents with a run of words from ``grams`` (sorted): doc_id, digest of the text, words, places and runs of the hits."""
     sent = docs.sparkSession.sparkContext.broadcast(grams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,12 +107,13 @@ def sharing(docs: DataFrame, grams: np.ndarray) -> DataFrame:
                 at = np.searchsorted(known, runs)
                 hit = np.nonzero(known[np.minimum(at, len(known) - 1)] == runs)[0]
                 if len(hit):
-                    out.append((key, words.view(np.int64), hit, runs[hit].view(np.int64)))
+                    out.append((key, hashlib.sha256(text.encode()).digest(), words.view(np.int64), hit, runs[hit].view(np.int64)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                    zip(*out, strict=True), [pa.int64(), *[pa.list_(pa.int64())] * 3], strict=True)], names=["doc_id", "words", "places", "runs"])
+                    zip(*out, strict=True), [pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3], strict=True)],
+                    names=["doc_id", "digest", "words", "places", "runs"])
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, words array<bigint>, places array<bigint>, runs array<bigint>")
+    return texts(docs).mapInArrow(run, "doc_id bigint, digest binary, words array<bigint>, places array<bigint>, runs array<bigint>")
 
 
 def windows(item: np.ndarray, body: np.ndarray, begins: set[int]) -> list[tuple[int, int]]:
@@ -133,9 +136,9 @@ def _scores(shared: DataFrame, seeds: tuple[np.ndarray, ...], parts: list) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (known, which, own), items = sent.value
-        for keys, many_words, many_places, many_runs in rows_of(batches, "doc_id", "words", "places", "runs"):
+        for columns in rows_of(batches, "doc_id", "digest", "words", "places", "runs"):
             out: list[tuple] = []
-            for key, words, places, runs in zip(keys, many_words, many_places, many_runs, strict=True):
+            for key, digest, words, places, runs in zip(*columns, strict=True):
                 starts: dict[int, set[int]] = {}
                 firsts, ends = (np.searchsorted(known, np.array(runs, np.int64), side).tolist() for side in ("left", "right"))
                 for place, i, j in zip(places, firsts, ends, strict=True):
@@ -150,17 +153,17 @@ def _scores(shared: DataFrame, seeds: tuple[np.ndarray, ...], parts: list) -> Da
                         share = round(score / len(item), 4)
                         if share >= THRESHOLD and share > best.get(name, (0,))[0]:
                             best[name] = (share, a + end)
-                out += [(key, item, *found) for item, found in best.items()]
+                out += [(key, digest, item, *found) for item, found in best.items()]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                    zip(*out, strict=True), [pa.int64(), pa.int64(), pa.float64(), pa.int64()], strict=True)],
-                    names=["doc_id", "item_id", "score", "ends_at_word"])
+                    zip(*out, strict=True), [pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.int64()], strict=True)],
+                    names=["doc_id", "digest", "item_id", "score", "ends_at_word"])
 
-    return shared.mapInArrow(run, "doc_id bigint, item_id bigint, score double, ends_at_word bigint")
+    return shared.mapInArrow(run, FOUND)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and test item it holds a copy of: doc_id, item_id, score, ends_at_word."""
+def copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """What was found, row by row of ``docs``: doc_id, digest (SHA-256 of the text), item_id, score, ends_at_word."""
     items = cut(segments(benchmark))
     total = items.agg(F.sum(F.size("words"))).first()[0] or 0
     blocks = total // BLOCK_WORDS + 1
@@ -179,6 +182,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = sharing(docs, np.unique(runs.view(np.uint64)))
         scored = _scores(shared, (runs[order], which[order], places[order]), parts)
         found = scored if found is None else found.unionByName(scored)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, score double, ends_at_word bigint")
-    return found.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"), F.max_by("ends_at_word", "score").alias("ends_at_word"))
+    return docs.sparkSession.createDataFrame([], FOUND) if found is None else found
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document and test item it holds a copy of: doc_id, item_id, score, ends_at_word."""
+    return copies(docs, benchmark).groupBy("doc_id", "item_id").agg(
+        F.max("score").alias("score"), F.max_by("ends_at_word", "score").alias("ends_at_word"))

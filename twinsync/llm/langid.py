@@ -21,8 +21,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from twinsync.llm.common import mixed, rows_of, small_batches, texts
 from twinsync.session import cut
@@ -154,3 +155,14 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
 
     found = texts(docs).mapInArrow(run, "doc_id bigint, lang_pred string, score double")
     return found.select("doc_id", F.coalesce(~training_row(), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def predicted(text: Column, filters: Filters) -> Column:
+    """The language of a text within its row, as ``identify`` tells it; a null text counts as empty."""
+    sent = SparkSession.active().sparkContext.broadcast(filters)
+
+    @arrow_udf("string")
+    def named(bodies: pa.Array) -> pa.Array:
+        return pa.array([sent.value.judge(body)[0] for body in bodies.to_pylist()], pa.string())
+
+    return named(F.coalesce(text.cast("string"), F.lit("")))
