@@ -206,6 +206,14 @@ def test_decontamination_of_many_edited_copies(spark):
     assert found == {**{i: 0.8125 for i in range(1000)}, 1000: 1.0}
 
 
+def test_decontamination_of_part_of_a_long_item(spark):
+    item = [f"t{i}" for i in range(450)]
+    frame = spark.createDataFrame([(1, "before " + " ".join(item[10:210]) + " after"), (2, " ".join(item)), (3, " ".join(item[:100]))], SCHEMA)
+    benchmark = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    found = {r.doc_id: r.score for r in decontaminate.contaminated(frame, benchmark).collect()}
+    assert found == {1: 0.8889, 2: 1.0}
+
+
 def test_alignment_equals_plain_table():
     rng = np.random.default_rng(4)
     for _ in range(50):

@@ -8,7 +8,8 @@ too few of the item's words for any alignment to reach ``THRESHOLD``, it is left
 elsewhere the item is aligned with them, and the best local alignment, as a share of the
 item's words, is the score.  Copies with words swapped, added or left out still align.
 
-Items longer than ``SEGMENT`` words are judged by segment, the best one counts.  Items are
+Items longer than ``SEGMENT`` words are judged by segment, in as few even ones as that
+length allows; the best one counts.  Items are
 taken in blocks, so what every executor holds stays bounded however large the benchmark is.
 Null and empty texts, and items of fewer than ``MIN_WORDS`` words (too short to tell a leak
 from chance), match nothing.  Columns other than the key and text are ignored.
@@ -84,7 +85,7 @@ def segments(items: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for key, text in zip(keys, bodies, strict=True):
                 words = word_hashes(text).view(np.int64)
-                parts = max(1, len(words) // SEGMENT)
+                parts = max(1, -(-len(words) // SEGMENT))
                 out += [(key, i, p.tolist()) for i, p in enumerate(np.array_split(words, parts)) if len(p) >= MIN_WORDS]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
                 list(zip(*out, strict=True)) or [[], [], []], [pa.int64(), pa.int32(), pa.list_(pa.int64())], strict=True)],
