@@ -22,12 +22,9 @@ SIMILAR = 85
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that could be told; those without one go."""
+    """Documents in a language that could be told; those without one go.  If none can be learned, those without a letter go."""
     prepared(spark)
-    filters = langid.learn(docs)
-    if not filters.languages:
-        return docs
-    return docs.where(langid.predicted(F.col("text"), filters) != "und")
+    return docs.where(langid.told(F.col("text"), langid.learn(docs)))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

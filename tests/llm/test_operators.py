@@ -235,6 +235,27 @@ def test_language(spark, data, none):
     assert langid.identify(docs, langid.learn(none)).where("lang_pred <> 'und'").isEmpty()
 
 
+def test_language_of_any_text_with_a_letter(spark, data, none):
+    docs = common.table(spark, data, "documents")
+    filters = langid.learn(docs)
+    usual = min(docs.where(langid.training_row() & docs.lang.isNotNull() & docs.text.isNotNull()).groupBy("lang").count().collect(),
+                key=lambda r: (-r["count"], r.lang)).lang
+    odd = spark.createDataFrame([(1, "\u65e5\u672c\u8a9e"), (2, "q"), (3, "\u0301 \u0301"), (4, "12 !"), (5, None)], SCHEMA)
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(odd, filters).collect()}
+    assert found[1] == (usual, 0.0) and found[2][0] in filters.languages and {found[i] for i in (3, 4, 5)} == {("und", 0.0)}
+    plain = odd.selectExpr("*", "cast(null as string) as lang")
+    assert {r.doc_id for r in corpus_pipeline.language(spark, plain, data).collect()} == {1, 2}
+
+
+def test_language_rare_in_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAINING_TEXTS", 40)
+    rows = [(i, "the cat sat on the mat and looked around", "aa") for i in range(3000)]
+    rows += [(5000 + i, "zwolf boxkampfer jagen viktor quer uber", "bb") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    filters = langid.learn(docs)
+    assert filters.languages == ["aa", "bb"] and filters.judge("viktor boxkampfer jagen")[0] == "bb"
+
+
 def test_url_filter(spark, none):
     urls = ["http://a.example.com/en/1", "https://WWW.example.com/en/2?x=1", "http://b.example.net/es/3", "http://b.example.net/fr/3#a/b",
             "http://x.org/fr/4", "no scheme", None, "http://com", "ftp://examplecom.org/en/", "http://example.com/en", "http://d.com?/en/", ""]

@@ -9,9 +9,10 @@ the language with the largest corrected count is the answer, its share of the su
 two best the score.
 
 N-grams are runs of ``SIZES`` characters over the lower-cased text with all that is not a
-letter as one space.  A text without a letter (or null) is ``und`` with score 0, and so is a
-text none of whose n-grams is known.  Ties go to the name that sorts first.  Without
-training rows everything is ``und``.  Only text and lang are read, and doc_id for the split.
+letter as one space.  A text without a letter (or null) is ``und`` with score 0.  A text with
+letters none of whose n-grams is known gets the most frequent language, also with score 0.
+Ties go to the name that sorts first.  Without training rows everything is ``und``.  Only
+text and lang are read, and doc_id for the split.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from twinsync.session import cut
 SIZES = (3, 5)
 PLACES_LOG2, PROBES = 21, 3
 HELD, SUPPORT = 0.2, 3
-#: Most training texts, taken by the order of a hash of doc_id (whole texts up to the character bound below).
-TRAINING_TEXTS = 20_000
+#: Training texts over all languages, and of each one at least (or all it has), as expected: those with the least hash of doc_id.
+TRAINING_TEXTS, LEAST_TEXTS = 20_000, 1_000
 #: Languages beyond this number (one bit each) are an error, not a guess.
 MOST_LANGUAGES = 63
 _NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
@@ -44,6 +45,11 @@ def training_row() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
 
 
+def lettered(text: str) -> bool:
+    """Whether a text has a letter; combining marks alone are none."""
+    return _LETTER.search(text) is not None
+
+
 def grams(text: str) -> np.ndarray:
     """64-bit hashes of all character n-grams of a text, with repeats; empty without a letter."""
     plain = _NOT_LETTERS.sub(" ", text.lower()).strip()
@@ -89,16 +95,16 @@ def _counted(docs: DataFrame) -> DataFrame:
 class Filters:
     """Languages and their masks by place."""
 
-    def __init__(self, languages: list[str], masks: np.ndarray):
-        self.languages, self.masks = languages, masks
+    def __init__(self, languages: list[str], masks: np.ndarray, usual: str = "und"):
+        self.languages, self.masks, self.usual = languages, masks, usual
         bits = np.arange(len(languages), dtype=np.uint64)
         full = np.array([((masks >> b) & np.uint64(1)).mean() for b in bits]) if languages else np.zeros(0)
         self.bits, self.false = bits, full ** PROBES
 
     def judge(self, text: str) -> tuple[str, float]:
-        hashes = grams(text)
-        if not len(hashes) or not self.languages:
+        if not self.languages or not lettered(text):
             return "und", 0.0
+        hashes = grams(text)
         first, *rest = places(hashes)
         held = self.masks[first]
         for place in rest:
@@ -108,7 +114,7 @@ class Filters:
         true = np.maximum(0.0, (counts - len(hashes) * self.false) / (1 - np.minimum(self.false, 0.999)))
         best = int(true.argmax())
         if true[best] <= 0:
-            return "und", 0.0
+            return self.usual, 0.0
         second = np.delete(true, best).max(initial=0.0)
         return self.languages[best], float(round(true[best] / (true[best] + second), 6))
 
@@ -117,14 +123,17 @@ def learn(docs: DataFrame) -> Filters:
     """Filters from the training rows with a language; their size does not depend on the corpus."""
     rows = docs.where(F.col("lang").isNotNull() & training_row() & F.col("text").isNotNull())
     rows = rows.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAINING_TEXTS)
-    sample = rows.join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("lang", "text")
-    counted = _counted(sample)
-    counted = cut(counted)
+    texts_of = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(texts_of) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; a mask holds {MOST_LANGUAGES}")
+    if not texts_of:
+        return Filters([], np.zeros(1 << PLACES_LOG2, np.uint64))
+    part = TRAINING_TEXTS / sum(texts_of.values())
+    parts = F.create_map(*[F.lit(x) for lang, n in texts_of.items() for x in (lang, float(max(part, LEAST_TEXTS / n)))])
+    place = F.xxhash64("doc_id") / F.lit(2.0 ** 64) + 0.5  # of a document among all, by hash
+    counted = cut(_counted(rows.where(place <= parts[F.col("lang")]).select("lang", "text")))
     totals = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted(totals)
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; a mask holds {MOST_LANGUAGES}")
     masks = np.zeros(1 << PLACES_LOG2, np.uint64)
     if not languages:
         return Filters([], masks)
@@ -139,7 +148,7 @@ def learn(docs: DataFrame) -> Filters:
     slices = held.select(F.explode(spots).alias("place"), "mask").groupBy("place").agg(F.bit_or("mask").alias("mask"))
     found = slices.toArrow()  # as many rows as the filter has places, at most
     masks[found.column("place").to_numpy()] = found.column("mask").to_numpy().astype(np.uint64)
-    return Filters(languages, masks)
+    return Filters(languages, masks, min(languages, key=lambda lang: (-texts_of[lang], lang)))
 
 
 def identify(docs: DataFrame, filters: Filters) -> DataFrame:
@@ -157,12 +166,13 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     return found.select("doc_id", F.coalesce(~training_row(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def predicted(text: Column, filters: Filters) -> Column:
-    """The language of a text within its row, as ``identify`` tells it; a null text counts as empty."""
+def told(text: Column, filters: Filters) -> Column:
+    """Whether a text has a language, as ``identify`` tells it within its row; without filters, whether it has a letter."""
     sent = SparkSession.active().sparkContext.broadcast(filters)
 
-    @arrow_udf("string")
-    def named(bodies: pa.Array) -> pa.Array:
-        return pa.array([sent.value.judge(body)[0] for body in bodies.to_pylist()], pa.string())
+    @arrow_udf("boolean")
+    def judged(bodies: pa.Array) -> pa.Array:
+        model = sent.value
+        return pa.array([model.judge(body)[0] != "und" if model.languages else lettered(body) for body in bodies.to_pylist()], pa.bool_())
 
-    return named(F.coalesce(text.cast("string"), F.lit("")))
+    return judged(F.coalesce(text.cast("string"), F.lit("")))
