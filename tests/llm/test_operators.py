@@ -59,6 +59,16 @@ def test_exact_dedup(spark, docs, none):
     assert exact_dedup.deduplicate(none, exact_dedup.fresh_index(spark, 2)).count() == 0
 
 
+@pytest.mark.parametrize("name", [(), ("one",)])
+def test_exact_dedup_takes_further_documents(spark, name):
+    index = exact_dedup.fresh_index(spark, 2)
+    judged = lambda rows: {(r.doc_id, r.keep_id, r.kept) for r in
+                           exact_dedup.deduplicate(spark.createDataFrame(rows, SCHEMA), index, *name).collect()}
+    assert judged([(1, "old"), (2, "old")]) == {(1, 2, False), (2, 2, True)}
+    assert judged([(3, "old"), (4, "new"), (5, "newer")]) == {(3, 2, False), (4, 4, True), (5, 5, True)}
+    assert index.rows().count() == 3
+
+
 def test_token_shards(spark, docs, none, tmp_path):
     library = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
     code = token_shards.library_encoder(public.path("byte_bpe_50k.json"), public.PATTERN)

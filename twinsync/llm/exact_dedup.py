@@ -37,9 +37,8 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def append(self, entries: DataFrame, batch: str) -> None:
-        """Add a batch's new digests: one sorted file a bucket.  A batch that is there already is left alone."""
-        if not self.rows().where(F.col("batch") == batch).isEmpty():
-            return
+        """Add the digests that are not there yet under a batch: one sorted file a bucket."""
+        entries = entries.hint("merge").join(self.rows(), "digest", "left_anti")
         entries = entries.select("digest", "keep_id", "group_size", F.lit(batch).alias("batch"))
         entries.repartition(self.buckets, "digest").write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
@@ -51,18 +50,21 @@ def digests(docs: DataFrame) -> DataFrame:
             .groupBy("doc_id", "digest").agg(F.count("*").alias("copies")))
 
 
-def deduplicate(docs: DataFrame, index: DigestIndex, batch: str = "first") -> DataFrame:
+def deduplicate(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
     """Judge a batch of documents and add its new texts to the index.
 
     Within a batch the row with the largest doc_id stays; a text known from an earlier
-    batch stays with the row that the index names.  Returns doc_id, digest, keep_id,
-    group_size (rows with the text: in this batch, and in the batch that brought it) and kept.
+    batch stays with the row that the index names.  Without a name every call is a batch of
+    its own; a call under a name that is there already belongs to that batch, so the same
+    documents again give the same answer and further texts are added.  Returns doc_id,
+    digest, keep_id, group_size (rows with the text: in this call, and in the batch that
+    brought it) and kept.
     """
+    batch = batch or uuid.uuid4().hex
     documents = cut(digests(docs))
     groups = cut(documents.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"),
                                                  F.count("*").alias("members")))
-    earlier = index.rows().where(F.col("batch") != batch)
-    index.append(groups.hint("merge").join(earlier, "digest", "left_anti"), batch)
+    index.append(groups, batch)  # from here on the index holds every digest of the documents
     known = index.rows().select("digest", F.col("keep_id").alias("known_id"), F.col("group_size").alias("known"), "batch")
     here = F.col("batch") == batch
     entries = cut(groups.drop("keep_id").hint("merge").join(known, "digest").select(
