@@ -292,6 +292,12 @@ def test_mined_rules_against_counts(spark):
         assert hold.count(r.verdict) / len(rows) >= 0.05
 
 
+def test_mined_rule_of_four_tokens(spark):
+    rows = [(list("abcd"), "block")] * 20 + [(list(three), "allow") for three in ("abc", "abd", "acd", "bcd") for _ in range(20)]
+    found = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.8).where("verdict = 'block'").collect()
+    assert [(r.tokens, r.confidence) for r in found] == [(list("abcd"), 1.0)]
+
+
 def test_chat(spark, none):
     turns = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, "ann", "bye"), (1, 3, "ann", "bye"),
              (2, 0, None, "x"), (3, 0, "system", "alone"), (None, None, "eve", "?"), (4, 0, "ann", "é" * 5000)]

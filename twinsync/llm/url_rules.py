@@ -32,8 +32,6 @@ STATED = [
     ("block", "net", "/fr/"),
 ]
 SUPPORT, CONFIDENCE = 0.001, 0.8
-#: Tokens in a mined rule, the verdict not counted.
-MOST_TOKENS = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,14 +71,20 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("verdict="), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     verdict = F.element_at("consequent", 1)
-    rules = model.associationRules.where(verdict.startswith("verdict=") & (F.size("antecedent") <= MOST_TOKENS)).select(
+    rules = model.associationRules.where(verdict.startswith("verdict=")).select(
         F.array_sort("antecedent").alias("tokens"), F.substring(verdict, len("verdict=") + 1, 100).alias("verdict"), "confidence", "support")
-    rules = cut(rules)
-    # A longer rule that a kept shorter one implies, at no lower confidence, says nothing new.
-    part = rules.select("verdict", F.col("tokens").alias("fewer"), F.col("confidence").alias("sure"), F.explode("tokens").alias("token"))
-    longer = rules.select("verdict", "tokens", "confidence", F.explode("tokens").alias("token"))
-    same = longer.join(part, ["verdict", "token"]).where("size(fewer) < size(tokens) and sure >= confidence and size(array_except(fewer, tokens)) = 0")
-    return rules.join(same.select("verdict", "tokens").distinct(), ["verdict", "tokens"], "left_anti")
+    # A longer rule that a kept shorter one implies, at no lower confidence, says nothing new.  By size, so few are compared.
+    rest, kept, size = cut(rules), None, 0
+    while kept is None or not rest.isEmpty():
+        size += 1
+        own = rest.where(F.size("tokens") == size)
+        kept = own if kept is None else kept.unionByName(own)
+        part = own.select("verdict", F.element_at("tokens", 1).alias("token"), F.col("tokens").alias("fewer"), F.col("confidence").alias("sure"))
+        rest = rest.where(F.size("tokens") > size)
+        longer = rest.select("verdict", "tokens", "confidence", F.explode("tokens").alias("token"))
+        same = longer.join(part, ["verdict", "token"]).where("sure >= confidence and size(array_except(fewer, tokens)) = 0")
+        rest = cut(rest.join(same.select("verdict", "tokens").distinct(), ["verdict", "tokens"], "left_anti"))
+    return kept
 
 
 def inverted(rules: DataFrame, labelled: DataFrame) -> DataFrame:
