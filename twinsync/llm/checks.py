@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinsync.llm import (bpe, chat, common, decontaminate, exact_dedup, langid, minhash, quality, token_counts,
-                          token_shards, url_rules)
+from twinsync.llm import (bpe, chat, collocations, common, decontaminate, exact_dedup, hard_negatives, langid, line_cleaning, minhash,
+                          quality, token_counts, token_shards, url_rules)
 from twinsync.session import cut, scratch_dir
 
 #: The end id that the contract of the binary output appends to every document.
@@ -94,14 +94,61 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "tokens_before", "n_tokens", "n_chars", "n_edits", "recounted_chars")
 
 
+def op11_line_cleaning(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts and verdict of every document; what lines it lost tells whether it stays."""
+    return line_cleaning.clean(common.table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_failed_lines", "lost_chars")
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2,000 phrases of two or three words of every language."""
+    return collocations.collocations(common.table(spark, folder, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every hundredth vector as an anchor, against all; every seventh has the label after its own."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(common.table(spark, folder, "embeddings"), label)
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
 
 
+def line_sql() -> str:
+    """The rules of ``line_cleaning`` over lists; repeated windows by their words."""
+    rules, quoted = line_cleaning, lambda x: "'" + x.replace("'", "''") + "'"
+    word_list = lambda x: f"list_filter(string_split_regex({x}, {quoted(rules.BLANK)}), lambda w: w <> '')"
+    count = lambda mark: f"len(list_filter(ws, lambda w: regexp_matches(w, {quoted(mark)})))"
+    chars = lambda x: f"length(regexp_replace({x}, {quoted(rules.BLANK)}, '', 'g'))"
+    return f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {word_list("coalesce(text, '')")} AS ws FROM documents),
+        w AS (SELECT doc_id, ws[i:i + 4] AS win, i FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+        r AS (SELECT doc_id, i FROM w QUALIFY count(*) OVER (PARTITION BY doc_id, win) > 1),
+        covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(0, 5) t(k) GROUP BY doc_id),
+        l AS (SELECT doc_id, line, {word_list("line")} AS ws FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+        f AS (SELECT doc_id, line, {chars("line")} AS chars, len(ws) AS n,
+                     NOT regexp_matches(line, {quoted(rules.SENTENCE_END)}) OR 2 * {count(rules.MARKED_WORD)} > len(ws)
+                     OR ({count(rules.SEPARATOR_WORD)} >= 2 AND len(ws) <= {count(rules.SEPARATOR_WORD)} + {rules.WORDS_BETWEEN} * ({count(rules.SEPARATOR_WORD)} + 1))
+                     OR (length(line) <= {rules.SHORT_LINE} AND regexp_matches(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                         {quoted("|".join(rules.NOTICES))})) AS failed
+              FROM l WHERE len(ws) > 0),
+        s AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (failed) AS n_failed_lines,
+                     coalesce(sum(chars) FILTER (failed), 0) AS lost_chars FROM f GROUP BY doc_id),
+        c AS (SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST({chars("text")} AS BIGINT) AS word_chars,
+                     CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                     coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+                     coalesce(n_failed_lines, 0) AS n_failed_lines, CAST(coalesce(lost_chars, 0) AS BIGINT) AS lost_chars
+              FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN s USING (doc_id))
+        SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * lost_chars <= {rules.MAX_LOST} * word_chars AS kept
+        FROM c"""
+
+
 QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_token_shards, op3_near_duplicates, op4_decontaminate, op5_language, op6_url_filter,
-                                   op7_chat_rotation, op8_quality, op9_bpe, op10_token_counts, pipeline)}
+                                   op7_chat_rotation, op8_quality, op9_bpe, op10_token_counts, op11_line_cleaning, op12_collocations, op13_hard_negatives, pipeline)}
 
 ORACLES = {
     "op1_exact_dedup": """
@@ -125,4 +172,39 @@ ORACLES = {
                string_agg(prefix || body || chr(10), '' ORDER BY place) AS text,
                coalesce(string_agg(CASE WHEN own THEN CAST(begin AS BIGINT) || ':' || length(body) END, ',' ORDER BY place), '') AS mask
         FROM s GROUP BY conv_id, perspective, page, pages""",
+    "op11_line_cleaning": line_sql(),
+    "op12_collocations": """
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, list_filter(string_split_regex(piece, '[\\x20\\x09]'), lambda w: w <> '') AS ws
+                   FROM (SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+        g AS (SELECT lang, ws[i:i + k - 1] AS ph FROM (SELECT lang, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM p, range(1, 4) t(k))),
+        f AS (SELECT lang, ph, len(ph) AS k, count(*) AS a FROM g GROUP BY ALL),
+        n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+        c AS (SELECT * FROM f WHERE k > 1 AND a >= 10),
+        cuts AS (SELECT lang, ph, a, j, ph[1:j] AS ph_l, ph[j + 1:k] AS ph_r FROM c, range(1, 3) t(j) WHERE j < k),
+        parts AS (SELECT cuts.*, x.a AS l, y.a AS r, (1000000 * CAST(cuts.a AS HUGEINT) * cuts.a) // (CAST(x.a AS HUGEINT) * y.a) AS score
+                  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.ph = ph_l JOIN f y ON y.lang = cuts.lang AND y.ph = ph_r),
+        best AS (SELECT * FROM parts QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, j) = 1),
+        longer AS (SELECT lang, ph[1:2] AS ph, a FROM c WHERE k = 3 UNION ALL SELECT lang, ph[2:3], a FROM c WHERE k = 3),
+        inside AS (SELECT c.lang, c.ph FROM c JOIN (SELECT lang, ph, max(a) AS most FROM longer GROUP BY ALL) m
+                   ON m.lang = c.lang AND m.ph = c.ph WHERE 100 * most >= 50 * c.a),
+        kept AS (SELECT lang, array_to_string(ph, ' ') AS phrase, a, l, r, CAST(score AS BIGINT) AS score FROM best ANTI JOIN inside USING (lang, ph))
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM kept JOIN n USING (lang) QUALIFY rank <= 2000""",
+    "op13_hard_negatives": """
+        WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                          list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+                   FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+                     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS (SELECT vec_id, label, unnest(c) AS x, generate_subscripts(c, 1) AS j FROM v),
+        s AS (SELECT a.vec_id AS anchor_id, o.vec_id AS other_id, a.label = o.label AS same, CAST(sum(a.x * o.x) AS BIGINT) AS score
+              FROM p a JOIN p o ON a.j = o.j AND a.vec_id <> o.vec_id WHERE a.vec_id % 100 = 0 GROUP BY ALL),
+        pos AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+                QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT s.anchor_id, positive_id,
+               CAST(row_number() OVER (PARTITION BY s.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+               other_id AS negative_id, positive_score, score AS negative_score
+        FROM s JOIN pos ON s.anchor_id = pos.anchor_id
+        WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+        QUALIFY row_number() OVER (PARTITION BY s.anchor_id, positive_id ORDER BY score DESC, other_id) <= 10""",
 }
