@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from twinsync import spec
 from twinsync.operators import classify
-from twinsync.operators.gate import gate, hold_and_release
+from twinsync.operators.gate import defer_rows, gate, hold_and_release
 from twinsync.operators.lookup import dependency_exists, known_parents
 from twinsync.operators.order import batch_summary, dependency_order, not_emitted, sorted_batch
 from twinsync.operators.state import State
@@ -111,6 +111,36 @@ def test_hold_release_and_timeout(spark):
     assert [r["decision"] for r in last.collect()] == ["dead:dependency_timeout"]
 
 
+def test_later_events_of_a_held_row_wait_behind_it(spark):
+    at = [F.lit(f"2024-01-01 00:0{m}:00").cast("timestamp") for m in (0, 1, 4)]
+    known = {"CUSTOMER": ids(spark, "1")}
+    batch = frame(spark, invoice(10, 1), invoice(10, 2), line(10, 5), invoice(10, 1), ("INVOICE", 10, {}), invoice(11, 1), invoice(12, 2), line(12), line(13),
+                  invoice(13, 1))
+    decisions = lambda rows: {r["seq"]: r["decision"] for r in rows.collect()}
+    first = defer_rows(cut(hold_and_release(batch, None, known, at[0])), known, at[0])
+    # 1 waits for customer 2; 3 and 4 are of the same row; the line of 10 finds it delivered by 0.
+    assert decisions(first) == {i: "hold" if i in (1, 3, 4, 6, 7) else "release" for i in range(10)}
+    held = first.where("decision = 'hold'").select(*batch.columns, "held_since")
+    fresh = spark.createDataFrame([(20, "CUSTOMER", "CREATED", "3", "{}"), (21, "INVOICE", "UPDATED", "10", "{}")], EVENTS)
+    second = defer_rows(cut(hold_and_release(fresh, held, known, at[1])), known, at[1])
+    assert decisions(second) == {1: "hold", 3: "hold", 4: "hold", 6: "hold", 7: "hold", 20: "release", 21: "hold"}
+    held = second.where("decision = 'hold'").select(*batch.columns, "held_since")
+    # The first one's time is over: what waited behind it goes, and has no time limit of its own.
+    last = defer_rows(cut(hold_and_release(fresh.where("false"), held, known, at[2])), known, at[2])
+    assert decisions(last) == {1: "dead:dependency_timeout", 3: "release", 4: "release", 21: "release", 6: "dead:dependency_timeout",
+                               7: "dead:dependency_timeout"}
+
+
+def test_a_deferred_row_delivers_no_parent(spark):
+    """Customer 7 is asked for by invoice 20, but its only ready event waits behind one that names an unknown address."""
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    rows = [("CUSTOMER", 7, {"AddressId": "a9"}), ("CUSTOMER", 7, {"AddressId": ""}), invoice(20, 7), invoice(20, 8), line(20), invoice(21, 8)]
+    batch = frame(spark, *rows).withColumn("event_type", F.lit("UPDATED"))
+    known = {"ADDRESS": ids(spark, "a1"), "CUSTOMER": ids(spark, "8")}
+    found = defer_rows(cut(hold_and_release(batch, None, known, at)), known, at)
+    assert {r["seq"]: r["decision"] for r in found.collect()} == {0: "hold", 1: "hold", 2: "hold", 3: "hold", 4: "hold", 5: "release"}
+
+
 def brute_gate(events, known):
     edges = classify.edges()
     ready = set()

@@ -157,6 +157,25 @@ def test_held_event_is_released_by_its_parent(spark, tmp_path):
     assert len(content(sync)["lines"]) == 1 and sync.store.read_rows("held", 1).count() == 0
 
 
+HELD = [[customer("a", 1), invoice("b", 10, 1)], [invoice("c", 10, 2, "u", 5)], [invoice("d", 10, 1, "u", 9)], [customer("e", 2)]]
+
+
+@pytest.mark.parametrize("parts", [[1, 2, 3], [2, 3]])
+def test_a_held_update_does_not_overwrite_newer_ones(spark, tmp_path, parts):
+    """Invoice 10 moves to a customer who comes later, and back: however the stream is cut, the last image stays."""
+    sync = SchemaSync(spark, str(tmp_path / "store"))
+    batches = [sum(HELD[a:b], []) for a, b in zip([0, *parts], [*parts, 4])]
+    done = 0
+    for i, texts in enumerate(batches):
+        rows = [(t, 2 * (done + j), spec.OLD_TO_NEW) for j, t in enumerate(texts)]
+        sync.process(spark.createDataFrame(rows, "value string, seq bigint, stream string"), i)
+        done += len(texts)
+    state = sync.store.state()
+    old = {r["NewId"]: r["OldId"] for r in state["map_customer"].collect()}
+    assert [(old[r["CustomerId"]], r["Total"]) for r in state["new_invoice"].collect()] == [(1, Decimal("9.00"))]
+    assert sync.store.read_rows("held", sync.store.last_batch()).count() == 0
+
+
 def test_no_event_is_dropped_for_its_age_and_repeats_are(spark, tmp_path):
     sync = SchemaSync(spark, str(tmp_path / "store"))
     schema = "value string, seq bigint, stream string"
