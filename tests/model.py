@@ -96,71 +96,52 @@ class Model:
         self.new_invoice[new] = (owner, address, e["Total"])
         return "applied"
 
-    # Old to new, a batch of customers -----------------------------------------------
+    # Old to new, customers in order of arrival -------------------------------------------
 
     def customers(self, events):
-        """Updates of known customers, creations, updates of created ones, deletions."""
-        events = sorted(events, key=lambda e: e["seq"])
-        known = set(self.map_customer)
-        mapped, alive = set(known), {k for k in known if self.map_customer[k] in self.new_customer}
-        effective = []
-        for e in events:
-            key, op = e["CustomerId"], e["op"]
-            if op == "c":
-                fate = "skip:already_mapped" if key in mapped else "applied"
-                if fate == "applied":
-                    mapped.add(key)
-                    alive.add(key)
-            elif key not in mapped:
-                fate = "dead:mapping_missing" if op == "u" else "skip:not_mapped"
-            elif key not in alive:
-                fate = "skip:row_missing"
+        for e in sorted(events, key=lambda e: e["seq"]):
+            self.fates[e["seq"]] = self.customer(e)
+
+    def customer(self, e):
+        key, op, parts = e["CustomerId"], e["op"], tuple(e[c] for c in OLD_ADDRESS)
+        new = self.map_customer.get(key)
+        if op == "c":
+            if new:
+                return "skip:already_mapped"
+            self.map_customer[key] = new = md5("customer", key)
+            self.new_customer[new] = (e["FirstName"], self.find_or_claim(parts, e))
+            return "applied"
+        if new is None:
+            return "dead:mapping_missing" if op == "u" else "skip:not_mapped"
+        if new not in self.new_customer:
+            return "skip:row_missing"
+        if op == "u":
+            address = self.new_customer[new][1]
+            if address in self.new_address:
+                self.new_address[address] = parts
+                self.claim(address, exact_key(parts), False)
             else:
-                fate = "applied"
-                if op == "d":
-                    alive.discard(key)
-            self.fates[e["seq"]] = fate
-            if fate == "applied":
-                effective.append(e)
-        written, fresh = {}, set()  # address id -> arrival of its last image
-        for turn in ("known", "create", "created", "delete"):
-            for e in effective:
-                key, parts = e["CustomerId"], tuple(e[c] for c in OLD_ADDRESS)
-                new = md5("customer", key)
-                if turn == "create" and e["op"] == "c":
-                    address = self.find_address(exact_key(parts))
-                    if address is None:
-                        address = self.make_address(parts, e)
-                        fresh.add(address)
-                        written[address] = e["seq"]
-                    self.map_customer[key] = new
-                    self.new_customer[new] = (e["FirstName"], address)
-                elif e["op"] == "u" and turn == ("known" if key in known else "created"):
-                    new = self.map_customer[key]
-                    address = self.new_customer[new][1]
-                    self.new_address[address] = parts
-                    written[address] = e["seq"]
-                    self.new_customer[new] = (e["FirstName"], address)
-                elif turn == "delete" and e["op"] == "d":
-                    gone = self.map_customer[key]
-                    del self.new_customer[gone]
-                    dead = {i for i, v in self.new_invoice.items() if v[0] == gone}
-                    self.new_invoice = {i: v for i, v in self.new_invoice.items() if i not in dead}
-                    self.new_line = {i: v for i, v in self.new_line.items() if v[0] not in dead}
-        # The mapping follows the last image of each written address unless its key is held.
-        before, taken = dict(self.map_address), set()
-        for address in sorted(written, key=written.get):
-            key = exact_key(self.new_address[address])
-            own = [k for k, a in before.items() if a == address]
-            if not own and address not in fresh:
-                continue
-            if before.get(key, address) != address or key in taken:
-                continue
-            if own and min(own) == key:
-                taken.add(key)
-                continue
-            taken.add(key)
-            for k in own:
-                if self.map_address.get(k) == address:
-                    del self.map_address[k]
-            self.map_address[key] = address
+                address = self.find_or_claim(parts, e)
+            self.new_customer[new] = (e["FirstName"], address)
+            return "applied"
+        del self.new_customer[new]
+        dead = {i for i, v in self.new_invoice.items() if v[0] == new}
+        self.new_invoice = {i: v for i, v in self.new_invoice.items() if i not in dead}
+        self.new_line = {i: v for i, v in self.new_line.items() if v[0] not in dead}
+        return "applied"
+
+    def find_or_claim(self, parts, e):
+        address = self.find_address(exact_key(parts))
+        if address is None:
+            address = self.make_address(parts, e)
+            self.claim(address, exact_key(parts), True)
+        return address
+
+    def claim(self, address, key, fresh):
+        """The mapping follows its address unless another one holds the key; an address without one stays without."""
+        own = [k for k, a in self.map_address.items() if a == address]
+        if not (own or fresh) or self.map_address.get(key, address) != address or (own and min(own) == key):
+            return
+        for k in own:
+            del self.map_address[k]
+        self.map_address[key] = address

@@ -8,10 +8,12 @@ from model import BILLING, NEW_ADDRESS, OLD_ADDRESS, Model, exact_key, md5
 from pyspark.sql import functions as F
 
 from twinsync import spec
+from twinsync.operators import asof
 from twinsync.operators.apply import (
     address_to_old, customer_to_new, customer_to_old, invoice_to_new, invoice_to_old, line_to_new, line_to_old,
 )
 from twinsync.operators.state import State, merge
+from twinsync.session import cut
 
 PLACES = [("a st", "c", "s", "k", "1"), ("A ST", "c", "s", "k", "1"), ("a st", "c", None, "k", "1"),
           ("a st", "c", "", "k", "1"), ("b st", "c", "s", "k", None), ("c st", "d", None, "k", None)]
@@ -100,6 +102,58 @@ def test_customers_equal_model(spark, seed):
     check(state, m, customer_to_new(state, frame))
 
 
+@pytest.mark.parametrize(("seed", "small"), [(1, 0), (1, 1000), (2, 20)])
+def test_customers_in_any_batches_equal_model(spark, monkeypatch, seed, small):
+    """Few places, so addresses are shared, overwritten and found again; the cuts of the stream are random.
+
+    ``small`` decides which groups of events go through in order and which by rounds.
+    """
+    monkeypatch.setattr(asof, "SMALL", small)
+    rng = random.Random(100 + seed)
+    m = base_model(rng)
+    state = state_of(spark, m)
+    events = [
+        {"seq": i, "unique_identifier": f"u{i}", "op": op, "CustomerId": k, "FirstName": f"v{i}", **dict(zip(OLD_ADDRESS, rng.choice(PLACES)))}
+        for i, (op, k) in enumerate(operations(rng, 60, 16))
+    ]
+    m.customers(events)
+    fates, start = {}, 0
+    for end in [*sorted(rng.sample(range(1, 60), seed)), 60]:
+        frame = spark.createDataFrame(
+            [(e["seq"], e["unique_identifier"], e["op"], e["CustomerId"], e["FirstName"], "l", *[e[c] for c in OLD_ADDRESS], None, None)
+             for e in events[start:end]], CUSTOMER)
+        changes = customer_to_new(state, frame)
+        fates |= {r["seq"]: r["outcome"] for r in changes.outcomes.collect()}
+        if end < 60:
+            state = merge(state, changes)
+            state = state.replace(**{n: cut(t) for n, t in state.tables.items()})
+        start = end
+    assert fates == m.fates
+    m.fates = {r["seq"]: r["outcome"] for r in changes.outcomes.collect()}
+    check(state, m, changes)
+
+
+def test_an_address_is_found_as_it_is_then(spark):
+    """1 leaves the place after 7 has found it and before 8 looks; 9 finds what 7's update has become."""
+    a, b = PLACES[0], PLACES[4]
+    m = Model()
+    m.new_address["a0"] = a
+    m.map_address[exact_key(a)] = "a0"
+    m.map_customer[1] = md5("customer", 1)
+    m.new_customer[md5("customer", 1)] = ("n1", "a0")
+    steps = [("c", 7, a), ("u", 1, b), ("c", 8, a), ("u", 7, PLACES[5]), ("c", 9, PLACES[5]), ("u", 8, b), ("c", 10, b), ("c", 11, a)]
+    events = [{"seq": i, "unique_identifier": f"u{i}", "op": op, "CustomerId": k, "FirstName": f"v{i}", **dict(zip(OLD_ADDRESS, place))}
+              for i, (op, k, place) in enumerate(steps)]
+    frame = spark.createDataFrame(
+        [(e["seq"], e["unique_identifier"], e["op"], e["CustomerId"], e["FirstName"], "l", *[e[c] for c in OLD_ADDRESS], None, None)
+         for e in events], CUSTOMER)
+    state = state_of(spark, m)
+    m.customers(events)
+    check(state, m, customer_to_new(state, frame))
+    owner = {k: m.new_customer[md5("customer", k)][1] for k in (1, 7, 8, 9, 10, 11)}
+    assert owner[7] == owner[1] == owner[9] == "a0" and owner[8] not in ("a0", owner[11])
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_invoices_equal_model(spark, seed):
     rng = random.Random(seed)
