@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinsync import spec
-from twinsync.operators import capture, reconcile
+from twinsync.operators import capture, counters, reconcile
+from twinsync.operators.apply.common import fresh_keys
 from twinsync.operators.state import Changes, State, merge
 from twinsync.plans.migration import MIGRATION_NAME, MigrationError, migrate_all, run_pending
 from twinsync.sources import logs, outbox, streams
@@ -245,6 +246,49 @@ def test_a_row_that_returns_to_an_image_gets_new_identifiers(spark):
     assert len(set(names)) == 3 and again == names[0]
 
 
+def new_customer(name, key, op="c", address="a1"):
+    body = {"CustomerId": key, "FirstName": "N", "LastName": "L", "AddressId": address}
+    return event(name, "CUSTOMER", "CustomerOutbox", op, body, source="new_to_old")
+
+
+def test_keys_come_from_a_counter(spark, tmp_path):
+    """No table is looked through for its greatest key; ranges are not given out twice and a batch done again gets its own again."""
+    t = lambda n, rows: spark.createDataFrame(rows, spec.TABLE_SCHEMAS[n])
+    place = ("s", "c", None, "k", "1")
+    store = TableStore(spark, str(tmp_path / "store"))
+    store.snapshot(State(spark, {
+        "old_customer": t("old_customer", [(7, "f", "l", *place, None, None)]), "map_customer": t("map_customer", [(7, "n7", None)]),
+        "new_customer": t("new_customer", [("n7", "f", "l", "a1", None, None)]), "new_address": t("new_address", [("a1", *place)]),
+        "map_address": t("map_address", [("1:s|1:c|-|1:k|1:1", *place, "a1", None)]),
+    }), -1)
+    sync = SchemaSync(spark, str(tmp_path / "store"))
+
+    def process(texts, number, seq, side):
+        sync.process(spark.createDataFrame([(x, seq + 2 * i, side) for i, x in enumerate(texts)], "value string, seq bigint, stream string"), number)
+        state = sync.store.state()
+        return ({r["NewId"]: r["OldId"] for r in state["map_customer"].collect()}, {r["TableName"]: r["LastKey"] for r in state["key_counters"].collect()})
+
+    made, counts = process([new_customer("u1", "n8"), new_customer("u2", "n9")], 0, 0, spec.NEW_TO_OLD)
+    assert set(made.values()) == {7, 8, 9} and counts == {"old_customer": 9, "old_invoice": 0, "old_invoice_line": 0}
+    # The greatest goes, the old side brings a key of its own; neither key is given out again.
+    gone = max(made, key=made.get)
+    made, counts = process([new_customer("u3", gone, "d")], 1, 10, spec.NEW_TO_OLD)
+    made, counts = process([customer("u4", 50)], 2, 20, spec.OLD_TO_NEW)
+    assert counts["old_customer"] == 50
+    commit, sync.store.commit = sync.store.commit, None
+    with pytest.raises(TypeError):
+        process([new_customer("u5", "n10"), new_customer("u6", "n11")], 3, 30, spec.NEW_TO_OLD)
+    sync.store.commit = commit
+    made, counts = process([new_customer("u5", "n10"), new_customer("u6", "n11")], 3, 30, spec.NEW_TO_OLD)
+    assert {made["n10"], made["n11"]} == {51, 52} and counts["old_customer"] == 52
+    # The plan of the allocation reads neither the table nor its mapping.
+    state = counters.opened(sync.store.state())
+    life = spark.createDataFrame([("k", "applied", "c")], "key string, outcome string, op string")
+    plan = fresh_keys(life, state, spec.CUSTOMER)._jdf.queryExecution().executedPlan().toString()
+    assert "parquet" not in plan.lower()
+    assert "parquet" in fresh_keys(life, sync.store.state(), spec.CUSTOMER)._jdf.queryExecution().executedPlan().toString().lower()
+
+
 # Round trip ------------------------------------------------------------------------------------
 
 

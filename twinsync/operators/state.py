@@ -11,15 +11,21 @@ from twinsync import spec
 
 
 class State:
-    """Current tables of both sides by name; a table nobody set is opened on first use, or empty."""
+    """Current tables of both sides by name; a table nobody set is opened on first use, or empty.
+
+    ``used`` has, for old tables with a counter, what tells the greatest key given out so far
+    (``counters``); without it keys are allocated behind those of the whole table.
+    """
 
     def __init__(
         self, spark: SparkSession, tables: dict[str, DataFrame] | None = None,
         opener: Callable[[str], DataFrame] | None = None,
+        used: dict[str, list[tuple[DataFrame, str]]] | None = None,
     ):
         self.spark = spark
         self.tables = dict(tables or {})
         self.opener = opener
+        self.used = used or {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.tables:
@@ -29,7 +35,7 @@ class State:
         return self.tables[name]
 
     def replace(self, **tables: DataFrame) -> State:
-        return State(self.spark, {**self.tables, **tables}, self.opener)
+        return State(self.spark, {**self.tables, **tables}, self.opener, self.used)
 
 
 @dataclass

@@ -31,6 +31,7 @@ TABLE_KEYS = {
     "processed_old": "unique_identifier",
     "processed_new": "unique_identifier",
     "migration_ledger": "MigrationName",
+    "key_counters": "TableName",
 }
 
 OLD_ADDRESS = ["Address", "City", "State", "Country", "PostalCode"]
@@ -62,6 +63,7 @@ TABLE_SCHEMAS = {
     "processed_old": "unique_identifier string",
     "processed_new": "unique_identifier string",
     "migration_ledger": "MigrationName string, AppliedOn timestamp",
+    "key_counters": "TableName string, LastKey bigint",
 }
 
 # Dependencies ----------------------------------------------------------------
