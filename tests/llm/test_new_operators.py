@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from twinsync.llm import collocations, hard_negatives, line_cleaning
+import corpus_pipeline
+from twinsync.llm import collocations, common, exact_dedup, hard_negatives, line_cleaning
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -235,3 +236,50 @@ def test_keys_hold_rows_that_do_not_fit_into_one_number():
     ids = rng.integers(0, 5, (500, 4)).astype(np.int32) * 400_000_000
     order = np.argsort(collocations._keys(ids, 2**31 - 1), kind="stable")
     assert ids[order].tolist() == sorted(ids.tolist())
+
+
+# Exact dedup's index -----------------------------------------------------------------
+
+
+def test_an_index_keeps_its_number_of_buckets(spark, tmp_path):
+    docs = _docs(spark, [(i, f"text {i}") for i in range(50)])
+    index = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
+    assert exact_dedup.deduplicate(docs, index).where("kept").count() == 50
+    spark.sql(f"DROP TABLE {index.name}")  # as in a new session
+    with pytest.raises(ValueError, match="4 buckets"):
+        exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 7)
+    again = exact_dedup.DigestIndex(spark, str(tmp_path / "index"), 4)
+    more = _docs(spark, [(100 + i, f"text {i}") for i in range(60)])
+    assert exact_dedup.deduplicate(more, again).where("kept").count() == 10 and again.rows().count() == 60
+
+
+# Pipeline stages ----------------------------------------------------------------------
+
+
+def test_near_dedup_stage_judges_each_text_whatever_its_id_and_names(spark, data):
+    base = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, base), (5, base + " end"), (5, "a clean text with the id of a copy"), (None, base + " last"), (None, "a clean text without an id"), (7, "")]
+    schema = "doc_id bigint, text string, _id int, _digest string, _row string, _n int, _found string"
+    frame = spark.createDataFrame([(*r, 1, "d", "r", 2, "f") for r in rows], schema)
+    found = corpus_pipeline.near(spark, frame, data)
+    assert found.columns == frame.columns
+    left = [r.text for r in found.collect()]
+    assert sorted(left)[:3] == ["", "a clean text with the id of a copy", "a clean text without an id"] and len(left) == 4
+    exact = corpus_pipeline.exact(spark, frame.unionByName(frame), data)
+    assert exact.columns == frame.columns and exact.count() == 6
+    unique = frame.where("doc_id in (1, 7) or text = 'a clean text with the id of a copy'")
+    assert corpus_pipeline.near(spark, unique, data).count() == 3
+    assert corpus_pipeline.clean(spark, frame, data).columns == frame.columns
+
+
+def test_workers_forget_what_a_stage_remembered():
+    from twinsync.llm import bpe, minhash
+
+    minhash._hashes.of([b"a", b"b"])
+    code = bpe.encoder("test", {bytes([b]): b for b in range(256)}, r"\S+|\s+")
+    list(code.encode(["some words and more words"]))
+    assert minhash._hashes and code.pieces.known
+    run = common.releasing(common.releasing(iter, minhash.release), bpe.release)
+    assert list(run([1, 2])) == [1, 2] and not minhash._hashes and not code.pieces.known
+    assert [next(code.encode(["some"]))] == [[115, 111, 109, 101]]
+    del bpe._encoders["test"]

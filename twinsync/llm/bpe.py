@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from twinsync.llm.common import Pieces, rows_of, small_batches, texts
+from twinsync.llm.common import Pieces, give_back, releasing, rows_of, small_batches, texts
 
 #: Longer pre-tokens, and those of a call with few of them, are merged one at a time, in plain lists.
 TOGETHER_BYTES, TOGETHER_WORDS = 64, 64
@@ -241,6 +241,13 @@ def encoder(name: str, ranks: dict[bytes, int], pattern: str) -> Encoder:
     return _encoders[name]
 
 
+def release() -> None:
+    """Forget the pieces that encoders have met; their vocabularies stay."""
+    for code in _encoders.values():
+        code.pieces.forget()
+    give_back()
+
+
 def vocabulary_name(ranks: dict[bytes, int], pattern: str) -> str:
     return hashlib.md5(repr((pattern, sorted(ranks.items()))).encode()).hexdigest()
 
@@ -266,4 +273,4 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str, wit
                     [pa.array(some_keys, pa.int64()), *[pa.array(c, f.type) for c, f in zip(columns, list(layout)[1:], strict=True)]],
                     schema=layout)
 
-    return texts(docs).mapInArrow(run, schema)
+    return texts(docs).mapInArrow(releasing(run, release), schema)

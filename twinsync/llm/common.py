@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 from collections.abc import Callable, Iterator
 
@@ -49,6 +51,26 @@ def lookup_join(rows: DataFrame, entries: DataFrame, key: str, weight: str) -> D
     return rows.join(F.broadcast(hot), key).unionByName(cold.join(rest, key))
 
 
+def releasing(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], release: Callable[[], None]) -> Callable:
+    """``run``, and ``release`` when its task ends: a worker lives on, what a stage remembered must not."""
+    def run_and_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return run_and_release
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 class WordHashes(dict):
     """64-bit hashes of words; a bounded cache, so it changes nothing but speed."""
 
@@ -110,6 +132,9 @@ class Pieces:
         self.older: dict[str, bytes] = {}
         self.edges: dict[str, bytes] = {}  # short first and last pieces
 
+    def forget(self) -> None:
+        self.known, self.older, self.edges = {}, {}, {}
+
     def encode(self, batch: list[str]) -> list[bytes]:
         """Ids of each text, as bytes of the encoder's number type."""
         return list(map(b"".join, self.by_piece(batch)))

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsync.llm.common import WordHashes, gram_hashes, rows_of, texts
+from twinsync.llm.common import WordHashes, give_back, gram_hashes, releasing, rows_of, texts
 from twinsync.session import cut
 
 SEED_WORDS = 4
@@ -56,6 +56,12 @@ class PlainWords(WordHashes):
 _hashes = PlainWords()
 
 
+def release() -> None:
+    """Forget the words met."""
+    _hashes.clear()
+    give_back()
+
+
 def word_hashes(text: str) -> np.ndarray:
     found = _hashes.of(text.encode().split())
     return found[found != 0]
@@ -91,7 +97,7 @@ def segments(items: DataFrame) -> DataFrame:
                 list(zip(*out, strict=True)) or [[], [], []], [pa.int64(), pa.int32(), pa.list_(pa.int64())], strict=True)],
                 names=["item_id", "seg", "words"])
 
-    return texts(items, "item_id").mapInArrow(run, "item_id bigint, seg int, words array<bigint>")
+    return texts(items, "item_id").mapInArrow(releasing(run, release), "item_id bigint, seg int, words array<bigint>")
 
 
 def sharing(docs: DataFrame, grams: np.ndarray) -> DataFrame:
@@ -114,7 +120,7 @@ def sharing(docs: DataFrame, grams: np.ndarray) -> DataFrame:
                     zip(*out, strict=True), [pa.int64(), pa.binary(), *[pa.list_(pa.int64())] * 3], strict=True)],
                     names=["doc_id", "digest", "words", "places", "runs"])
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, digest binary, words array<bigint>, places array<bigint>, runs array<bigint>")
+    return texts(docs).mapInArrow(releasing(run, release), "doc_id bigint, digest binary, words array<bigint>, places array<bigint>, runs array<bigint>")
 
 
 def windows(item: np.ndarray, body: np.ndarray, begins: set[int]) -> list[tuple[int, int]]:
@@ -160,7 +166,7 @@ def _scores(shared: DataFrame, seeds: tuple[np.ndarray, ...], parts: list) -> Da
                     zip(*out, strict=True), [pa.int64(), pa.binary(), pa.int64(), pa.float64(), pa.int64()], strict=True)],
                     names=["doc_id", "digest", "item_id", "score", "ends_at_word"])
 
-    return shared.mapInArrow(run, FOUND)
+    return shared.mapInArrow(releasing(run, release), FOUND)
 
 
 def copies(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

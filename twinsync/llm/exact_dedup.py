@@ -23,11 +23,21 @@ SCHEMA = "digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING"
 class DigestIndex:
     """A Parquet table of known digests, clustered so that lookups need no shuffle of the index.
 
-    It outlives the session: opening it again at the same path gives the same rows.
+    It outlives the session: opening it again at the same path gives the same rows.  The number of
+    buckets is kept beside it, as files of one number read as another would hide known digests;
+    opening it with another one raises ValueError.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int):
         self.spark, self.buckets = spark, buckets
+        layout = f"{path.rstrip('/')}-buckets"
+        folder = spark._jvm.org.apache.hadoop.fs.Path(layout)
+        if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            made = spark.read.parquet(layout).first()[0]
+            if made != buckets:
+                raise ValueError(f"the index has {made} buckets, not {buckets}")
+        else:
+            spark.range(1).select(F.lit(buckets).alias("buckets")).write.parquet(layout)
         self.name = "digest_index_" + uuid.uuid5(uuid.NAMESPACE_URL, path).hex
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} ({SCHEMA}) USING parquet "
@@ -84,6 +94,8 @@ def fresh_index(spark: SparkSession, buckets: int | None = None) -> DigestIndex:
 def keep_first_copies(docs: DataFrame, judged: DataFrame) -> DataFrame:
     """The documents that stay, whole rows; of repeated rows one."""
     keys = judged.where("kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_kept"))
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    joined = marked.join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_kept")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # A row goes as one column, so its own names meet no others.
+    marked = docs.select(F.col("doc_id").alias("_doc"), F.unhex(F.sha2(text, 256)).alias("_digest"), F.struct(*docs.columns).alias("_row"))
+    joined = marked.join(keys, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_kept")), "left_semi")
+    return joined.dropDuplicates(["_doc", "_digest"]).select("_row.*")

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinsync.llm.common import WordHashes, gram_hashes, lookup_join, mixed, rows_of, texts
+from twinsync.llm.common import WordHashes, give_back, gram_hashes, lookup_join, mixed, releasing, rows_of, texts
 from twinsync.session import cut
 
 WORDS = 5
@@ -43,6 +43,12 @@ _BLOCK = 512
 _hashes = WordHashes()
 
 
+def release() -> None:
+    """Forget the words met."""
+    _hashes.clear()
+    give_back()
+
+
 def shingles(text: str) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes; empty for a text without words."""
     words = _hashes.of(text.encode().lower().split())
@@ -109,7 +115,7 @@ def sketches(docs: DataFrame, percent: int) -> DataFrame:
                 [pa.array(keys, pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
                  pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "bands"])
 
-    return texts(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>")
+    return texts(docs).mapInArrow(releasing(run, release), "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -125,7 +131,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 [pa.array(keys, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
                 names=["id", "size", "set"])
 
-    return wanted.mapInArrow(run, "id bigint, size bigint, set array<bigint>")
+    return wanted.mapInArrow(releasing(run, release), "id bigint, size bigint, set array<bigint>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

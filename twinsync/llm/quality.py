@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from twinsync.llm.common import WordHashes, mixed, rows_of, small_batches, texts
+from twinsync.llm.common import WordHashes, give_back, mixed, releasing, rows_of, small_batches, texts
 
 PASSAGE_WORDS = 100
 TRAINING_DOCS, TRAINING_PASSAGES = 4000, 32
@@ -31,6 +31,12 @@ THRESHOLD = 0.3
 _hashes = WordHashes()
 
 
+def release() -> None:
+    """Forget the words met."""
+    _hashes.clear()
+    give_back()
+
+
 def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
@@ -158,7 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Attention:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(labels_, pa.float64()), pa.array(bags, pa.binary())],
                                              names=["doc_id", "label", "bag"])
 
-    rows = sample.mapInArrow(run, "doc_id bigint, label double, bag binary").toArrow().sort_by("doc_id")
+    rows = sample.mapInArrow(releasing(run, release), "doc_id bigint, label double, bag binary").toArrow().sort_by("doc_id")
     bags = [np.frombuffer(b, np.float32).reshape(-1, FEATURES) for b in rows.column("bag").to_pylist()]
     return Attention().fit(bags, rows.column("label").to_numpy())
 
@@ -174,6 +180,6 @@ def score(docs: DataFrame, model: Attention) -> DataFrame:
                 found = np.round(fitted.scores([passages(text) for text in part]), 6)
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
-    found = texts(docs).mapInArrow(run, "doc_id bigint, score double")
+    found = texts(docs).mapInArrow(releasing(run, release), "doc_id bigint, score double")
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
