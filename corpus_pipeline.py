@@ -12,9 +12,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinsync.functions.keys import number_rows
 from twinsync.llm import bpe, decontaminate, exact_dedup, langid, minhash
 from twinsync.llm.common import prepared, table
-from twinsync.session import scratch_dir
+from twinsync.session import cut, scratch_dir
 
 
 #: Least similarity, in percent, that links two documents in the stage: op3's value, to which the tests hold the stage.
@@ -34,10 +35,21 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates; every text is judged on its own.
+
+    Where a doc_id names several texts, or none does, rows are told apart by numbers of their own and the
+    one with the smallest number stays, else the one with the smallest doc_id.
+    """
     prepared(spark)
-    gone = minhash.near_duplicates(docs, SIMILAR).where("not kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")  # a null doc_id is always kept
+    row = F.struct(*docs.columns).alias("_document")  # its own names meet no others
+    if docs.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        rows = docs.select(F.col("doc_id").alias("_n"), row)
+    else:
+        name = F.concat_ws("|", F.col("_document.doc_id").cast("string"), F.sha2(F.coalesce(F.col("_document.text"), F.lit("")), 256))
+        rows = cut(number_rows(docs.select(row), name, "_n"))  # exact dedup has left each doc_id and text once
+    judged = minhash.near_duplicates(rows.select(F.col("_n").alias("doc_id"), F.col("_document.text").alias("text")), SIMILAR)
+    gone = judged.where("not kept").select(F.col("doc_id").alias("_n"))
+    return rows.join(gone, "_n", "left_anti").select("_document.*")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,9 +57,10 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepared(spark)
     found = decontaminate.copies(docs, table(spark, sf_dir, "benchmark"))
     keys = found.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_found")).distinct()
-    marked = docs.withColumn("_digest", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_found"))
-    return marked.join(keys, same, "left_anti").drop("_digest")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    marked = docs.select(F.col("doc_id").alias("_doc"), F.unhex(F.sha2(text, 256)).alias("_digest"), F.struct(*docs.columns).alias("_document"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_found"))
+    return marked.join(keys, same, "left_anti").select("_document.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
