@@ -6,6 +6,7 @@ import ctypes
 import gc
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -140,10 +141,43 @@ class Pieces:
         return list(map(b"".join, self.by_piece(batch)))
 
     def by_piece(self, batch: list[str]) -> Iterator[list[bytes]]:
-        """The same, piece by piece; ``lengths`` tells the pieces' characters."""
+        """The same, piece by piece."""
+        firsts, split, lasts = self._split(batch)
+        edge = self._meet(firsts, split, lasts)
+        look = self.known.__getitem__
+        for f, parts, e in zip(firsts, split, lasts, strict=True):
+            yield [edge[f], *map(look, parts), edge[e]]
+
+    def sizes(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces of every text (two at least), then characters and bytes of ids of all pieces, text after text."""
+        firsts, split, lasts = self._split(batch)
+        edge = self._meet(firsts, split, lasts)
+        inner = list(chain.from_iterable(split))
+        n = np.fromiter(map(len, split), np.int64, len(split)) + 2
+        ends = np.cumsum(n)
+        places = np.ones(int(ends[-1]) if len(ends) else 0, bool)
+        places[ends - n] = places[ends - 1] = False
+        out = [n]
+        for within, first, last in (
+                (np.fromiter(map(len, inner), np.int64, len(inner)) + 1, map(len, firsts), map(len, lasts)),
+                (np.fromiter(map(len, map(self.known.__getitem__, inner)), np.int64, len(inner)),
+                 (len(edge[f]) for f in firsts), (len(edge[e]) for e in lasts))):
+            values = np.empty(len(places), np.int64)
+            values[places] = within
+            values[ends - n] = np.fromiter(first, np.int64, len(n))
+            values[ends - 1] = np.fromiter(last, np.int64, len(n))
+            out.append(values)
+        return tuple(out)
+
+    @staticmethod
+    def _split(batch: list[str]) -> tuple[list[str], list[list[str]], list[str]]:
+        """First pieces, words between spaces, last pieces; the outer ones may begin or end in white space."""
         split = [_BOUNDARY.split(t) if _ADJACENT.search(t) else t.split(" ") for t in batch]
         firsts = [parts.pop(0) for parts in split]
-        lasts = [" " + parts.pop() if parts else "" for parts in split]  # these may begin or end in white space
+        return firsts, split, [" " + parts.pop() if parts else "" for parts in split]
+
+    def _meet(self, firsts: list[str], split: list[list[str]], lasts: list[str]) -> dict[str, bytes]:
+        """Make the words between spaces known; ids of the outer pieces."""
         if len(self.known) > self.LIMIT:
             self.known, self.older = {}, self.known
         if len(self.edges) > self.LIMIT // 4:
@@ -160,17 +194,7 @@ class Pieces:
         known.update(zip(new, ids, strict=False))
         edge = {piece: edges[piece] for piece in ends if piece in edges} | dict(zip(odd, ids[len(new):], strict=True))
         edges.update((piece, edge[piece]) for piece in odd if len(piece) <= 64)
-        look = known.__getitem__
-        for f, parts, e in zip(firsts, split, lasts, strict=True):
-            yield [edge[f], *map(look, parts), edge[e]]
-
-    @staticmethod
-    def lengths(text: str) -> list[int]:
-        """Characters of each piece of a text, as ``by_piece`` cuts it."""
-        parts = _BOUNDARY.split(text) if _ADJACENT.search(text) else text.split(" ")
-        out = [len(p) + 1 for p in parts]
-        out[0] -= 1
-        return out if len(out) > 1 else [*out, 0]
+        return edge
 
     def _learn(self, words: list[str], odd: list[str]) -> list[bytes]:
         """Ids of `` word`` for words between spaces, which stay apart when joined, then of the odd pieces."""
