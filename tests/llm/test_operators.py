@@ -168,19 +168,27 @@ def test_bands_follow_the_threshold():
         assert (1 - (percent / 100) ** rows) ** bands <= 1.2e-5
 
 
-def test_rare_groups_lose_no_linked_pair(spark):
+@pytest.mark.parametrize("percent", [60, 85])
+def test_rare_groups_lose_no_linked_pair(spark, percent):
+    """Pairs with a member that is not linked with the reference meet, and have room for a link where they first meet."""
     rng = random.Random(5)
     sets = {i: sorted(rng.sample(range(40), rng.randint(20, 36))) for i in range(60)}
+    for i in range(60, 100):  # few edits of others
+        sets[i] = sorted(set(sets[i - 50]) ^ set(rng.sample(range(45), 1 + i % 3)))
     frame = spark.createDataFrame([(i, len(s), s) for i, s in sets.items()], "id bigint, size bigint, set array<bigint>")
+    linked = lambda a, b: 100 * len({*sets[a]} & {*sets[b]}) >= percent * len({*sets[a]} | {*sets[b]})
+    room = lambda a, b: ((a.apart + b.apart - 2 * (min(a.apart - a.place, b.apart - b.place) + 1)) * (100 + percent)
+                         <= (a.size + b.size) * (100 - percent))
     groups = {}
-    for r in minhash.rare_groups(frame.select("id"), frame, 60).collect():
-        groups.setdefault(r.band, {})[r.id] = r.lead
-    met = {(a, b) for g in groups.values() for a in g for b in g if a < b and (g[a] or g[b])}
-    for a in sets:
-        for b in sets:
-            common_, both = len(set(sets[a]) & set(sets[b])), len(set(sets[a]) | set(sets[b]))
-            if a < b and 100 * common_ >= 60 * both:
-                assert (a, b) in met
+    live = frame.selectExpr("id % 3 as ref", "id")
+    for r in minhash.rare_groups(live, frame, percent).collect():
+        assert r.apart == len({*sets[r.id]} ^ {*sets[r.ref]}) and r.ref == r.id % 3
+        groups.setdefault(r.band, []).append(r)
+    met = {(a.id, b.id) for g in groups.values() for a in g for b in g
+           if a.id < b.id and (a.lead and (b.lead or a.apart <= b.apart) or b.lead and b.apart <= a.apart) and room(a, b)}
+    wanted = {(a, b) for a in sets for b in sets if a < b and a % 3 == b % 3 and linked(a, b) and not (linked(a, a % 3) and linked(b, a % 3))
+              and a % 3 != a}
+    assert wanted and wanted <= met
 
 
 def test_components(spark):

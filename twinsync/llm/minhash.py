@@ -6,10 +6,11 @@ hashes of word hashes.  Two documents are linked when 100 * intersection >= perc
 
 Signature: a first permutation of 32-bit numbers spreads the shingles, and one second
 permutation, shifted round by k places, gives coordinate k as the minimum over the set.
-Bands of equal coordinates give candidate groups.  Groups are not expanded into pairs: a
-few hubs of a group are compared with the members of other components, members found
-linked are merged, and what is still apart is grouped anew by its rarest shingles (a filter
-that loses no linked pair) and gets more hubs, until every lead has been compared with, or
+Bands of equal coordinates give candidate groups.  Groups are not expanded into pairs: all
+members are compared with their group's first document; who is still apart is written as its
+difference from that document's set and grouped anew by the rarest elements of it (a filter that
+loses no linked pair).  There a few hubs at a time are compared with the members of other
+components whose differences leave room for a link, until every lead has been compared with, or
 is connected to, every other member of its group.  Only linked pairs decide.
 
 Null and empty texts have an empty set and are linked with nothing.  Rows with one doc_id
@@ -38,6 +39,8 @@ MISSED = 1.2e-5
 COORDINATES = 150
 #: Up to so many document ids may be sent to all executors (8 bytes each); beyond it they are joined by a shuffle.
 SENT_IDS = 2_000_000
+#: Rows of one reference that meet one copy of its set.
+PART = 2000
 _BLOCK = 512
 
 _hashes = WordHashes()
@@ -172,22 +175,45 @@ def components(edges: DataFrame) -> DataFrame:
                  .select(F.col("x").alias("a"), F.col("y").alias("b")))
 
 
-def rare_groups(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """band, id, lead: each live document under the rarest of its shingles, counted over the live documents.
+def differences(live: DataFrame, sets: DataFrame) -> DataFrame:
+    """ref, id, size and the symmetric difference of the sets of ``id`` and ``ref``, for every row of ``live`` (ref, id).
 
-    Linked sets share at least percent / (100 + percent) of the sum of their sizes.  So, with
-    shingles in one order, the smaller set's first ``size - 2 * percent * size / (100 + percent) + 1``
-    and the larger set's first ``size - percent * size / 100 + 1`` have one in common.  The
-    former are marked as leads: every linked pair has a lead in some group.  No pair is lost,
-    and documents that differ enough by words of their own meet in no group.
+    A reference may have most of the rows: its set comes once for about ``PART`` of them.
     """
-    spread = cut(sets.join(live, "id", "left_semi").select("id", "size", F.explode("set").alias("band")))
-    counts = spread.groupBy("band").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("id").orderBy("n", "band")
-    ranked = lookup_join(spread, counts, "band", "n").withColumn("_r", F.row_number().over(order))
-    both = 100 + percent
-    return ranked.where(f"n > 1 and _r <= size - (size * {percent} + 99) div 100 + 1").select(
-        "band", "id", "size", F.expr(f"_r <= size - (2 * {percent} * size + {both - 1}) div {both} + 1").alias("lead"))
+    parts = cut(live.groupBy("ref").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PART)))
+    rows = lookup_join(live, parts, "ref", "n").withColumn("_part", F.pmod(F.xxhash64("id"), "parts")).select("ref", "_part", "id")
+    refs = (parts.join(sets.select(F.col("id").alias("ref"), F.col("set").alias("_ref")), "ref")
+            .select("ref", "_ref", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("_part")))
+    both = rows.join(sets, "id").join(refs, ["ref", "_part"])
+    return both.select("ref", "id", "size", F.concat(F.array_except("set", "_ref"), F.array_except("_ref", "set")).alias("difference"))
+
+
+def rare_groups(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """band, ref, id, size, apart, place, lead: each live document under the rarest elements of its difference from ``ref``.
+
+    For differences X and Y of two sets from a third, the sets differ by the elements in one of X and Y alone; they are
+    linked when these are (100 - percent) / (100 + percent) of the sum of the sets' sizes or less, which is at most
+    ``L = size * (100 - percent) / percent`` for either size.  If one of them is not linked with the reference, X and Y have
+    elements in common, and in one order of rarity the smaller one's first ``L / 2 + 1`` and the larger one's first ``L + 1``
+    have the first of these.  The former are marked as leads: every linked pair has a lead in some group.  ``apart`` is the
+    size of the difference and ``place`` the element's in its order, from 1: what comes after bounds what is shared.
+    """
+    spread = cut(differences(live, sets).select("ref", "id", "size", F.size("difference").alias("apart"), F.explode("difference").alias("element"))
+                 .withColumn("band", F.xxhash64("ref", "element")))
+    counts = cut(spread.groupBy("band").agg(F.count("*").alias("n")))
+    order = Window.partitionBy("ref", "id").orderBy("n", "band")
+    ranked = lookup_join(spread, counts, "band", "n").withColumn("place", F.row_number().over(order))
+    most = f"size * {100 - percent} div"
+    return ranked.where(f"n > 1 and place <= {most} {percent} + 1").select(
+        "band", "ref", "id", "size", "apart", "place", F.expr(f"place <= {most} {2 * percent} + 1").alias("lead"))
+
+
+def _unsettled(members: DataFrame, names: DataFrame) -> DataFrame:
+    """Members, with their components, of the bands that hold a lead and more than one component."""
+    named = members.join(names, "id", "left").select(*members.columns, F.coalesce("component", "id").alias("component"))
+    apart = (named.groupBy("band").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.max("lead").alias("_lead"))
+             .where("_a < _b and _lead").select("band"))
+    return named.join(apart, "band", "left_semi")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -208,28 +234,32 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         links = cut(links.union(copies.select(F.col("id").alias("a"), F.col("doc_id").alias("b"))))
     names = components(links)
     hubs, rare = 1, False
-    members = members.select("band", "id", "size", F.lit(True).alias("lead"))
+    members = members.select("band", F.col("hub").alias("ref"), "id", "size", F.lit(0).alias("apart"), F.lit(0).alias("place"),
+                             F.lit(True).alias("lead"))
     while True:
+        members = cut(_unsettled(members, names))
         if hubs > 1 and not rare:
-            members, rare = cut(rare_groups(members.select("id").distinct(), sets, percent)), True
-        named = members.join(names, "id", "left").select("band", "id", "size", "lead", F.coalesce("component", "id").alias("component"))
-        apart = (named.groupBy("band").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.max("lead").alias("_lead"))
-                 .where("_a < _b and _lead").select("band"))
-        members = cut(named.join(apart, "band", "left_semi"))
+            members, rare = cut(_unsettled(rare_groups(members.select("ref", "id").distinct(), sets, percent), names)), True
         if members.isEmpty():
             break
         # Hubs of a band: its first leads, taking turns between its components.
         turn = Window.partitionBy("band", "component").orderBy("id")
         order = Window.partitionBy("band").orderBy("_turn", "hub")
-        firsts = members.where("lead").select("band", "component", "size", F.col("id").alias("hub"), F.row_number().over(turn).alias("_turn"))
+        firsts = members.where("lead").select("band", "ref", "component", "size", "apart", "place", F.col("id").alias("hub"),
+                                              F.row_number().over(turn).alias("_turn"))
         chosen = cut(firsts.where(F.col("_turn") <= hubs).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= hubs).drop("_n", "_turn"))
-        # Bands with the same hubs are one band from here on, so a pair that shares many bands is made once.
-        joint = chosen.groupBy("band").agg(F.sort_array(F.collect_list(F.struct("hub", "component", "size"))).alias("hubs"))
-        joint = cut(joint.select("band", F.xxhash64("hubs").alias("joint"), "hubs"))
-        gathered = members.join(joint.select("band", "joint"), "band").groupBy("joint", "id", "component", "size").agg(F.max("lead").alias("lead"))
-        against = joint.groupBy("joint").agg(F.first("hubs").alias("hubs")).select("joint", F.inline("hubs").alias("hub", "other", "most"))
-        alike = (F.least("size", "most") * 100 >= F.greatest("size", "most") * percent) & (F.col("lead") | (F.col("most") <= F.col("size")))
-        pairs = (gathered.join(against, "joint").where((F.col("component") != F.col("other")) & alike)
+        # Bands of one reference with the same hubs are one band from here on, so a pair that shares many bands is made once.
+        joint = cut(chosen.groupBy("band", "ref").agg(F.sort_array(F.collect_list("hub")).alias("hubs"))
+                    .select("band", F.xxhash64("ref", "hubs").alias("joint")))
+        least = F.min("place").alias("place"), F.max("lead").alias("lead")
+        gathered = members.join(joint, "band").groupBy("joint", "id", "component", "size", "apart").agg(*least)
+        against = chosen.join(joint, "band").groupBy("joint", "hub", "component", "size", "apart").agg(F.min("place").alias("place")).select(
+            "joint", "hub", *(F.col(c).alias(f"_{c}") for c in ("component", "size", "apart", "place")))
+        alike = (F.least("size", "_size") * 100 >= F.greatest("size", "_size") * percent) & (F.col("lead") | (F.col("_apart") <= F.col("apart")))
+        # At the first element that two differences share, they share it and what comes after it at most.
+        share = F.least(F.col("apart") - F.col("place"), F.col("_apart") - F.col("_place")) + 1
+        alike &= (F.col("apart") + F.col("_apart") - 2 * share) * (100 + percent) <= (F.col("size") + F.col("_size")) * (100 - percent)
+        pairs = (gathered.join(against, "joint").where((F.col("component") != F.col("_component")) & alike)
                  .select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct())
         pairs = cut(pairs.join(tested, ["a", "b"], "left_anti"))
         found = cut(verified(pairs, sets, percent))
@@ -237,7 +267,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         if not found.isEmpty():
             links = links.unionByName(found)
             names = components(links)
-        members = members.join(chosen.select("band", F.col("hub").alias("id")), ["band", "id"], "left_anti").select("band", "id", "size", "lead")
+        members = members.join(chosen.select("band", F.col("hub").alias("id")), ["band", "id"], "left_anti").drop("component")
         hubs *= 4
 
     named = classes.drop("bands").join(names, "id", "left").select(
