@@ -1,16 +1,18 @@
 """The running synchronisation: one batch, many batches, replays and held events."""
 
 import json
+import random
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from twinsync import spec
-from twinsync.operators import capture, counters, reconcile
+from twinsync.operators import capture, counters, reconcile, versions
 from twinsync.operators.apply.common import fresh_keys
 from twinsync.operators.state import Changes, State, merge
 from twinsync.plans.migration import MIGRATION_NAME, MigrationError, migrate_all, run_pending
+from twinsync.session import cut
 from twinsync.sources import logs, outbox, streams
 from twinsync.sources.tables import TableStore
 from twinsync.streaming.sync import SchemaSync
@@ -177,6 +179,61 @@ def test_a_held_update_does_not_overwrite_newer_ones(spark, tmp_path, parts):
     assert sync.store.read_rows("held", sync.store.last_batch()).count() == 0
 
 
+def _at(text, seconds):
+    return text.replace("1704716412000", str(1704716412000 + 1000 * seconds))
+
+
+LATE = [customer("a", 1), customer("b", 2, first="Bob", Address="t"), invoice("c", 10, 1), _at(invoice("d", 10, 2, "u", 9), 20),
+        _at(invoice("e", 10, 1, "u", 5), 10), _at(customer("f", 1, "u", "Anna"), 30), _at(customer("g", 1, "u", "Anne"), 15)]
+
+
+@pytest.mark.parametrize("parts", [[], [4], [4, 5, 6], [3, 6]])
+def test_the_newest_image_by_time_stays(spark, tmp_path, parts):
+    """Older updates come late over another partition, in the newer one's batch or after it."""
+    sync = SchemaSync(spark, str(tmp_path / "store"), compact_every=2)
+    for i, (a, b) in enumerate(zip([0, *parts], [*parts, len(LATE)])):
+        rows = [(t, 2 * (a + j), spec.OLD_TO_NEW) for j, t in enumerate(LATE[a:b])]
+        sync.process(spark.createDataFrame(rows, "value string, seq bigint, stream string"), i)
+    state = sync.store.state()
+    old = {r["NewId"]: r["OldId"] for r in state["map_customer"].collect()}
+    assert [(old[r["CustomerId"]], r["Total"]) for r in state["new_invoice"].collect()] == [(2, Decimal("9.00"))]
+    assert {old[r["CustomerId"]]: r["FirstName"] for r in state["new_customer"].collect()} == {1: "Anna", 2: "Bob"}
+    assert {r["RowName"] for r in state["row_versions"].collect()} == {"customer_outbox|1", "invoice_outbox|10"}
+
+
+def test_an_update_offered_again_does_not_overwrite_newer_ones(spark, tmp_path):
+    sync = SchemaSync(spark, str(tmp_path / "store"))
+    schema = "value string, seq bigint, stream string"
+    early = _at(invoice("c", 10, 1, "u", 5), 10)  # comes before the row it updates
+    for i, texts in enumerate([[customer("a", 1), early], [invoice("b", 10, 1), _at(invoice("d", 10, 1, "u", 9), 20)]]):
+        sync.process(spark.createDataFrame([(t, 10 * i + 2 * j, spec.OLD_TO_NEW) for j, t in enumerate(texts)], schema), i)
+    assert [r["reason"] for r in sync.store.all_rows("dead_letter").collect()] == ["dead:mapping_missing"]
+    sync.reoffer()
+    assert [r["Total"] for r in sync.store.state()["new_invoice"].collect()] == [Decimal("9.00")]
+    assert [r["outcome"] for r in sync.store.read_rows("outcomes", 2).collect()] == ["skip:stale"]
+
+
+def test_events_trade_numbers_by_their_stamps(spark):
+    """Against a sort of every row's events; one row has a third of them, others no id or one time."""
+    rng = random.Random(3)
+    rows = []
+    for n in rng.sample(range(100_000), 3000):
+        name = rng.choice(["hot", f"r{rng.randrange(400)}", f"R{rng.randrange(400)}", None if n % 2 else spec.MISSING_AGGREGATE_ID])
+        rows.append(("t" if name == "hot" else rng.choice("tu"), name, 0 if name and name.endswith("7") else rng.randrange(50), n, f"e{n}"))
+    frame = spark.createDataFrame(rows, "source_table string, aggregate_id string, at int, seq bigint, name string")
+    events = cut(frame.withColumn("event_time", F.timestamp_seconds("at")))
+    expected, groups = {}, {}
+    for table, name, at, seq, event_name in rows:
+        if name in (None, spec.MISSING_AGGREGATE_ID):
+            expected[event_name] = seq
+        else:
+            groups.setdefault((table, name.lower()), []).append((at, seq, event_name))
+    for group in groups.values():
+        expected |= {e[2]: n for e, n in zip(sorted(group), sorted(e[1] for e in group))}
+    assert {r["name"]: r["seq"] for r in versions.in_order(events).collect()} == expected
+    assert versions.in_order(events.limit(0)).count() == 0
+
+
 def test_no_event_is_dropped_for_its_age_and_repeats_are(spark, tmp_path):
     sync = SchemaSync(spark, str(tmp_path / "store"))
     schema = "value string, seq bigint, stream string"

@@ -32,6 +32,7 @@ TABLE_KEYS = {
     "processed_new": "unique_identifier",
     "migration_ledger": "MigrationName",
     "key_counters": "TableName",
+    "row_versions": "RowName",
 }
 
 OLD_ADDRESS = ["Address", "City", "State", "Country", "PostalCode"]
@@ -64,6 +65,7 @@ TABLE_SCHEMAS = {
     "processed_new": "unique_identifier string",
     "migration_ledger": "MigrationName string, AppliedOn timestamp",
     "key_counters": "TableName string, LastKey bigint",
+    "row_versions": "RowName string, EventTime timestamp, LastSeq bigint",
 }
 
 # Dependencies ----------------------------------------------------------------

@@ -15,8 +15,8 @@ from twinsync.session import scratch_scope, together
 from twinsync.sources.tables import TableStore
 
 
-#: Reasons of dead letters that a parent's arrival may mend.
-WAITED = ("dead:dependency_timeout", "dead:parent_missing")
+#: Reasons of dead letters that the arrival of a parent, or of the row itself, may mend.
+WAITED = ("dead:dependency_timeout", "dead:parent_missing", "dead:mapping_missing")
 
 
 class SchemaSync:
@@ -52,8 +52,8 @@ class SchemaSync:
     def reoffer(self, reasons: tuple[str, ...] = WAITED) -> None:
         """Offer dead letters again, as a batch of their own: those whose parent came too late.
 
-        What was applied in the meantime is caught by the processed sets; what still cannot be
-        applied waits anew or becomes a dead letter again.
+        What was applied in the meantime is caught by the processed sets, an update that a newer
+        one has overtaken by its stamp; what still cannot be applied waits anew or becomes a dead letter again.
         """
         dead = self.store.all_rows("dead_letter")
         if dead is None:
