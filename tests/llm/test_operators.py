@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, with nulls, empty and long texts, ties, repeats, empty tables and extra columns."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -9,6 +10,7 @@ import oracle
 import public_tokenizers as public
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -285,10 +287,54 @@ def test_url_filter(spark, none):
         "example.com/en/", "www.example.com/en/", "net/es/", "net/fr/", None, None, None, None, None, "com/", None, None]
     assert (found[1].host, found[1].path, found[1].verdict) == ("www.example.com", "/en/2", "allow")
     assert (found[10].host, found[10].path) == ("d.com", "") and (found[5].host, found[5].path, found[5].verdict) == ("", "", "allow")
-    assert found[300].verdict == "block" and "path:buy" in found[300].mined_tokens + ["path:buy"] and found[301].verdict == "allow"
+    assert found[300].verdict == "block" and found[300].mined_tokens == ["host:spam"] and found[301].verdict == "allow"
     assert url_rules.judge(pages.limit(0)).count() == 0
 
 
+def test_url_filter_with_a_long_path_that_many_share(spark):
+    """16 segments of one path would be 65,535 combinations, with the labels of the host in each."""
+    path = "/es/" + "/".join(f"s{c}" for c in "abcdefghijklmnop")
+    rows = [(i, f"http://h.net{path}/{'xyz'[i % 3]}") for i in range(2000)] + [(2000 + i, f"http://w{i % 7}.com/a") for i in range(2000)]
+    rows += [(5000, "http://q.org/sd/sk"), (5001, "http://q.org/a"), (5002, "http://q.org/zz"), (5003, "http://q.org/" + "a/b/" * 30000)]
+    found = {r.page_id: r for r in url_rules.judge(spark.createDataFrame(rows, "page_id bigint, url string")).where("page_id >= 5000").collect()}
+    assert (found[5000].verdict, found[5000].confidence, found[5000].mined_tokens) == ("block", 1.0, ["path:sd"])
+    assert [found[i].verdict for i in (5001, 5002, 5003)] == ["allow"] * 3 and found[5002].mined_tokens is None
+
+
+def test_mined_verdicts_against_all_combinations(spark):
+    """Every set of tokens that some labelled URL holds, counted by hand."""
+    rng = random.Random(5)
+    hosts = ["a.com", "b.com", "h.net", "x.a.com", "k.net"]
+    ways = ["en", "es", "fr", "buy/now", "shop", "x9"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['es', 'fr', 'en'])}/{rng.choice(ways)}/{rng.choice(ways)}" for _ in range(150)]
+    urls += [f"http://{rng.choice(['o.org', 'a.b.org'])}/{rng.choice(ways)}/{rng.choice(ways)}" for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    url = F.col("url")
+    parts = {r.page_id: frozenset(r.tokens) for r in frame.select(
+        "page_id", url_rules.tokens(url_rules.host_of(url), url_rules.path_of(url), url).alias("tokens")).collect()}
+    found = {r.page_id: r for r in url_rules.judge(frame, support=0.02, confidence=0.7).collect()}
+    labelled = [(parts[i], r.verdict) for i, r in found.items() if r.rule is not None]
+    counts = {}
+    for have, verdict in labelled:
+        for size in range(1, len(have) + 1):
+            for some in itertools.combinations(sorted(have), size):
+                counts.setdefault(some, []).append(verdict)
+    rules = []
+    for some, verdicts in counts.items():
+        for verdict in ("allow", "block"):
+            n = verdicts.count(verdict)
+            if n >= 0.02 * len(labelled) and n / len(verdicts) >= 0.7:
+                rules.append((n / len(verdicts), n, verdict, frozenset(some)))
+    mined = 0
+    for i, r in found.items():
+        if r.rule is None:
+            best = max((rule[:3] for rule in rules if rule[3] <= parts[i]), default=None)
+            assert (r.verdict, r.confidence) == ((best[2], pytest.approx(best[0])) if best else ("allow", None)), urls[i]
+            assert best is None or set(r.mined_tokens) <= parts[i]
+            mined += best is not None
+    assert mined > 20
+
+
 def test_mined_rules_against_counts(spark):
     rng = random.Random(8)
     rows = [(sorted(set(rng.choices("abcde", k=3))), rng.choice(["allow", "block"])) for _ in range(80)]

@@ -4,13 +4,15 @@ A stated rule is a host and a path prefix; it fits the host and all its subdomai
 rule with the longest text wins (ties: the later in alphabetical order).  URLs that a stated
 rule decides are the labels from which Spark's FP-growth mines token combinations; a rule
 "tokens -> verdict" is kept when enough labelled URLs hold it (support) and enough of those
-have the verdict (confidence), and no kept shorter rule says the same.  An undecided URL is
-matched through an inverted index: a mined rule is filed under its rarest token, URLs meet
-the rules of their tokens, and a rule fires when the URL holds all its tokens.  The fired
+have the verdict (confidence), and no kept shorter rule says the same.  Tokens that the same
+labelled URLs hold are one item, as any of them makes the same rules: a path that many URLs share
+is then one item, not a combination for each choice of its segments.  An undecided URL is
+matched through an inverted index: a mined rule is filed under its rarest item, URLs meet
+the rules of their items, and a rule fires when the URL holds a token of each of its items.  The fired
 rule with the highest confidence (then support, then block) decides; without one the URL is
 allowed.
 
-A null URL, or one without ``://``, has an empty host and path, fits no rule and is allowed.
+URLs are read whole, however long.  A null URL, or one without ``://``, has an empty host and path, fits no rule and is allowed.
 Repeated rows are judged alike.  Columns other than page_id and url are ignored.
 """
 
@@ -66,8 +68,37 @@ def tokens(host: Column, path: Column, url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.concat(named, F.array(top, site), parts, names), lambda x: ~x.endswith(":"))))
 
 
+def equal_tokens(labelled: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """token, item for the tokens that enough labelled URLs hold: tokens that the same URLs hold share one item, the least of them.
+
+    Same URLs: as many, and with equal sums of two 64-bit hashes.  Such tokens stand together in
+    one URL, so no group is larger than a URL.  Rarer tokens are in no rule that has the support.
+    """
+    least = labelled.count() * support
+    one, two = (F.xxhash64(F.lit(i), "tokens").cast("decimal(38,0)") for i in (1, 2))
+    counts = labelled.select(F.explode("tokens").alias("token"), one.alias("one"), two.alias("two")).groupBy("token").agg(
+        F.count("*").alias("urls"), F.sum("one").alias("one"), F.sum("two").alias("two")).where(F.col("urls") >= least)
+    return counts.groupBy("urls", "one", "two").agg(F.collect_set("token").alias("all")).select(
+        F.explode("all").alias("token"), F.array_min("all").alias("item"))
+
+
+def with_items(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Add ``items``: the items that a row's ``tokens`` belong to, each with the least token held."""
+    kinds = cut(rows.groupBy("tokens").agg(F.count("*").alias("_rows")))
+    spread = kinds.select("tokens", F.explode("tokens").alias("token"))
+    entries = cut(spread.groupBy("token").agg(F.count("*").alias("n")).join(items, "token"))
+    held = lookup_join(spread, entries, "token", "n").groupBy("tokens", "item").agg(F.min("token").alias("token"))
+    found = held.groupBy("tokens").agg(F.sort_array(F.collect_list(F.struct("item", "token"))).alias("items"))
+    none = F.array().cast("array<struct<item:string,token:string>>")
+    named = cut(kinds.join(found, "tokens", "left").withColumn("items", F.coalesce("items", none)))
+    return lookup_join(rows, named, "tokens", "_rows").drop("_rows")
+
+
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
-    """tokens, verdict, confidence, support of the rules that are kept; ``labelled`` has tokens and verdict."""
+    """tokens, verdict, confidence, support of the rules that are kept; ``labelled`` has tokens and verdict.
+
+    Combinations of tokens that always occur together are all mined: give items instead (``equal_tokens``).
+    """
     baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("verdict="), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     verdict = F.element_at("consequent", 1)
@@ -108,10 +139,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = STATED, support:
     if labelled.isEmpty():
         best = None
     else:
-        index = cut(inverted(mine(labelled, support, confidence), labelled))
-        kinds = open_.groupBy("tokens").agg(F.count("*").alias("urls"))  # URLs with the same tokens are judged once
-        met = kinds.select("tokens", F.explode("tokens").alias("token")).join(index.withColumnRenamed("tokens", "wanted"), "token")
-        fired = met.where("size(array_except(wanted, tokens)) = 0")
+        items = cut(equal_tokens(labelled, support))
+        baskets = cut(with_items(labelled, items).select(F.col("items.item").alias("tokens"), "verdict"))
+        index = cut(inverted(mine(baskets, support, confidence), baskets))
+        kinds = cut(open_.groupBy("tokens").agg(F.count("*").alias("urls")))  # URLs with the same tokens are judged once
+        met = with_items(kinds, items).select("tokens", "items", F.explode("items.item").alias("token")).join(
+            index.withColumnRenamed("tokens", "needed"), "token")
+        wanted = F.expr("array_sort(transform(filter(items, x -> array_contains(needed, x.item)), x -> x.token))")
+        fired = met.where("size(array_except(needed, items.item)) = 0").withColumn("wanted", wanted)
         best = cut(kinds.join(fired.groupBy("tokens").agg(F.max(F.struct("confidence", "support", "verdict", "wanted")).alias("best")),
                               "tokens", "left"))
     if best is None:
