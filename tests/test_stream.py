@@ -125,6 +125,20 @@ def test_replay_and_crash(spark, tmp_path):
     assert documents.where("batch = 0").count() == 11
 
 
+def test_the_end_of_the_snapshot_is_known_after_a_restart(spark, tmp_path):
+    sync = SchemaSync(spark, str(tmp_path / "store"), compact_every=1)
+    marks = [[json.dumps({"source": {"snapshot": "true"}})], [json.dumps({"source": {"snapshot": "last"}})], ["not json"]]
+    for i, texts in enumerate(marks):
+        if i == 1:
+            commit, sync.store.commit = sync.store.commit, lambda *_, **__: 1 / 0
+            with pytest.raises(ZeroDivisionError):
+                sync.process(spark.createDataFrame([(texts[0], 2 * i, spec.OLD_TO_NEW)], "value string, seq bigint, stream string"), i)
+            sync.store.commit = commit
+        assert not sync.snapshot_finished or i == 2
+        sync.process(spark.createDataFrame([(texts[0], 2 * i, spec.OLD_TO_NEW)], "value string, seq bigint, stream string"), i)
+    assert SchemaSync(spark, str(tmp_path / "store")).snapshot_finished
+
+
 def test_held_event_times_out(spark, tmp_path):
     sync = SchemaSync(spark, str(tmp_path / "store"), timeout_seconds=0)
     schema = "value string, seq bigint, stream string"

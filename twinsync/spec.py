@@ -33,6 +33,7 @@ TABLE_KEYS = {
     "migration_ledger": "MigrationName",
     "key_counters": "TableName",
     "row_versions": "RowName",
+    "sync_progress": "Milestone",
 }
 
 OLD_ADDRESS = ["Address", "City", "State", "Country", "PostalCode"]
@@ -66,6 +67,7 @@ TABLE_SCHEMAS = {
     "migration_ledger": "MigrationName string, AppliedOn timestamp",
     "key_counters": "TableName string, LastKey bigint",
     "row_versions": "RowName string, EventTime timestamp, LastSeq bigint",
+    "sync_progress": "Milestone string, DoneAt timestamp",
 }
 
 # Dependencies ----------------------------------------------------------------

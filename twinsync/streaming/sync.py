@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from twinsync import spec
 from twinsync.operators.state import Changes
-from twinsync.plans.batch import run_batch
+from twinsync.plans.batch import SNAPSHOT, run_batch
 from twinsync.session import scratch_scope, together
 from twinsync.sources.tables import TableStore
 
@@ -35,7 +35,11 @@ class SchemaSync:
         self.store = TableStore(spark, root)
         self.timeout_seconds = timeout_seconds
         self.compact_every = compact_every
-        self.snapshot_finished = False
+
+    @property
+    def snapshot_finished(self) -> bool:
+        """Has a committed batch, of this run or an earlier one, seen the last snapshot event?"""
+        return not self.store.state()["sync_progress"].where(F.col("Milestone") == SNAPSHOT).isEmpty()
 
     def process(self, texts: DataFrame, batch: int, run: str = "") -> None:
         """One micro-batch of a run; the audit row comes last, so a batch that fails half-way is done again."""
@@ -80,7 +84,6 @@ class SchemaSync:
         if "outcomes" in written:
             counts["applied"] = written["outcomes"].where("outcome = 'applied'").count()
         store.commit(batch, counts, run=run, run_batch=run_batch_number)
-        self.snapshot_finished = self.snapshot_finished or result.snapshot_finished
 
     def start(
         self, stream: DataFrame, checkpoint: str, interval: str = spec.BATCH_INTERVAL, once: bool = False
