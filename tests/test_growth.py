@@ -5,7 +5,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from twinsync.functions.keys import number_rows
+from twinsync.checks import common
+from twinsync.functions.keys import number_rows, packed, unpacked
 from twinsync.operators import gate
 from twinsync.session import cut
 
@@ -51,3 +52,21 @@ def test_rows_are_numbered_in_the_order_of_their_digest(spark):
     rows = number_rows(spark.range(3000), F.col("id").cast("string"), "n").collect()
     order = sorted(range(3000), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
     assert {r["id"]: r["n"] for r in rows} == {i: n for n, i in enumerate(order, 1)}
+
+
+def test_packed_keys_are_short_and_tell_texts_apart(spark):
+    made = hashlib.md5(b"1").hexdigest()
+    texts = [made, made.upper(), made[:-1], "", "é", "a-b", None, bytes.fromhex("41" * 16).decode()]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", packed("t").alias("p"), unpacked(packed("t")).alias("u")).collect()
+    assert [r["u"] for r in rows] == texts
+    assert [len(r["p"]) for r in rows if r["t"] == made] == [16]
+    assert len({bytes(r["p"]) for r in rows if r["p"] is not None}) == len(texts) - 1
+
+
+def test_a_state_holds_only_the_tables_that_were_read(spark, data):
+    common._made.clear()
+    state = common.base_state(spark, data)
+    assert state["map_invoice"].count() == state["new_invoice"].count() > 0
+    assert not {"old_invoice_line", "new_invoice_line"} & state.tables.keys()
+    assert state.replace(old_customer=state["old_customer"])["new_invoice"] is state["new_invoice"]
+    common._made.clear()
