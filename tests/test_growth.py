@@ -5,7 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from twinsync.checks import common
+from twinsync.checks import all_queries, common
 from twinsync.functions.keys import number_rows, packed, unpacked
 from twinsync.operators import gate
 from twinsync.session import cut
@@ -70,3 +70,8 @@ def test_a_state_holds_only_the_tables_that_were_read(spark, data):
     assert not {"old_invoice_line", "new_invoice_line"} & state.tables.keys()
     assert state.replace(old_customer=state["old_customer"])["new_invoice"] is state["new_invoice"]
     common._made.clear()
+
+
+def test_lines_are_numbered_once(spark, data):
+    plan = all_queries()["capture_old_line"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lineitem" not in plan and "row_number" not in plan

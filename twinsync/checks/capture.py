@@ -9,6 +9,7 @@ from twinsync import spec
 from twinsync.checks import common
 from twinsync.checks.sql import NEW, address_key, query, surrogate
 from twinsync.operators import capture
+from twinsync.session import cut
 from twinsync.sources import tpch
 
 
@@ -80,7 +81,7 @@ def capture_old_invoice(spark: SparkSession, folder: str) -> DataFrame:
 def capture_old_line(spark: SparkSession, folder: str) -> DataFrame:
     """Unreturned lines appear, closed returns vanish, accepted ones change."""
     common.configure(spark)
-    rows = tpch.old_invoice_line(spark, folder, ["l_returnflag", "l_linestatus"])
+    rows = cut(tpch.old_invoice_line(spark, folder, ["l_returnflag", "l_linestatus"]))  # numbered once for both versions
     flag = F.col("l_returnflag")
     before = rows.where(flag != "N").drop("l_returnflag", "l_linestatus")
     after = rows.where(~((flag == "R") & (F.col("l_linestatus") == "F"))).withColumn(
