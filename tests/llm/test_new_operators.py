@@ -283,3 +283,30 @@ def test_workers_forget_what_a_stage_remembered():
     assert list(run([1, 2])) == [1, 2] and not minhash._hashes and not code.pieces.known
     assert [next(code.encode(["some"]))] == [[115, 111, 109, 101]]
     del bpe._encoders["test"]
+
+
+def test_workers_forget_the_pieces_of_token_counts(spark):
+    import base64
+
+    import public_tokenizers as public
+    import pyarrow as pa
+
+    from twinsync.llm import token_counts
+
+    with open(public.path("byte_bpe_multi_50k.tiktoken"), "rb") as lines:
+        code = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+    def kept(batches):
+        from twinsync.llm import bpe
+
+        for _ in batches:
+            pass
+        pieces = [e.pieces for e in bpe._encoders.values()]
+        yield pa.RecordBatch.from_arrays([pa.array([sum(len(p.known) + len(p.older) + len(p.edges) for p in pieces)], pa.int64())], names=["n"])
+
+    docs = spark.createDataFrame([(i, f"some words of document{i} and more") for i in range(64)], "doc_id long, text string").repartition(8)
+    edits = docs.selectExpr("doc_id", "1L as seq", "5L as start", "0L as length", "'new ' as replacement")
+    state = token_counts.build(docs, code, public.PATTERN)
+    for ran in (state, token_counts.apply(docs, state.limit(0), edits, code, public.PATTERN)):
+        assert ran.count() == 64
+        assert spark.range(0, 64, 1, 8).mapInArrow(kept, "n bigint").where("n > 0").isEmpty()

@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinsync.llm.bpe import Encoder, encoder, vocabulary_name
-from twinsync.llm.common import rows_of, small_batches, texts
+from twinsync.llm.bpe import Encoder, encoder, release, vocabulary_name
+from twinsync.llm.common import releasing, rows_of, small_batches, texts
 
 LEAF_CHARS = 256
 #: A leaf may grow to so many times its size before the leaves are cut anew.
@@ -198,7 +198,7 @@ def build(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
                      pa.array([c for c, _ in found], _INT), pa.array([t for _, t in found], _INT)],
                     names=["doc_id", "text_hash", "leaf_chars", "leaf_tokens"])
 
-    return texts(docs).mapInArrow(run, STATE)
+    return texts(docs).mapInArrow(releasing(run, release), STATE)
 
 
 def apply(docs: DataFrame, state: DataFrame, edits: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
@@ -276,5 +276,5 @@ def apply(docs: DataFrame, state: DataFrame, edits: DataFrame, ranks: dict[bytes
         rounds()
         yield done(open_docs)
 
-    return rows.mapInArrow(run, "doc_id bigint, tokens_before bigint, n_tokens bigint, n_chars bigint, n_edits bigint, "
-                                "recounted_chars bigint, text string, leaf_chars array<int>, leaf_tokens array<int>")
+    return rows.mapInArrow(releasing(run, release), "doc_id bigint, tokens_before bigint, n_tokens bigint, n_chars bigint, n_edits bigint, "
+                                                    "recounted_chars bigint, text string, leaf_chars array<int>, leaf_tokens array<int>")
