@@ -310,3 +310,22 @@ def test_workers_forget_the_pieces_of_token_counts(spark):
     for ran in (state, token_counts.apply(docs, state.limit(0), edits, code, public.PATTERN)):
         assert ran.count() == 64
         assert spark.range(0, 64, 1, 8).mapInArrow(kept, "n bigint").where("n > 0").isEmpty()
+
+
+def test_members_of_a_round_are_made_once(spark):
+    from twinsync.llm import minhash
+    from twinsync.session import cut
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(band, i, i % 3 == 0) for band in range(4) for i in range(50)]
+    members = spark.createDataFrame(rows, "band long, id long, lead boolean").mapInArrow(counted, "band long, id long, lead boolean")
+    names = cut(spark.createDataFrame([(i, 0) for i in range(0, 50, 2)], "id long, component long"))
+    left = minhash._unsettled(members, names).collect()
+    assert {(r.band, r.id, r.lead, r.component) for r in left} == {(b, i, lead, 0 if i % 2 == 0 else i) for b, i, lead in rows}
+    assert made.value == len(rows)

@@ -210,7 +210,8 @@ def rare_groups(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _unsettled(members: DataFrame, names: DataFrame) -> DataFrame:
     """Members, with their components, of the bands that hold a lead and more than one component."""
-    named = members.join(names, "id", "left").select(*members.columns, F.coalesce("component", "id").alias("component"))
+    # Written, as it is read twice: the members may be the rows of an anti-join or of a whole new grouping.
+    named = cut(members.join(names, "id", "left").select(*members.columns, F.coalesce("component", "id").alias("component")))
     apart = (named.groupBy("band").agg(F.min("component").alias("_a"), F.max("component").alias("_b"), F.max("lead").alias("_lead"))
              .where("_a < _b and _lead").select("band"))
     return named.join(apart, "band", "left_semi")
