@@ -116,9 +116,9 @@ left join (select InvoiceId, page, max(pages) as pages,
         paged=_pages(lines, "InvoiceId", "InvoiceLineId", 3))
 
 
-def _invoice_details(state: State, side: str) -> DataFrame:
+def _invoice_details(state: State, side: str, parents: DataFrame | None = None) -> DataFrame:
     rows = views.invoice_details(
-        state[f"{side}_invoice"], state[f"{side}_customer"], state[f"{side}_invoice_line"], page_rows=3)
+        state[f"{side}_invoice"], state[f"{side}_customer"], state[f"{side}_invoice_line"], page_rows=3, parents=parents)
     return rows.select(
         "InvoiceId", "CustomerId", "Total", "FirstName", "LastName", "page", "pages",
         _joined("lines", "InvoiceLineId", "TrackId", "UnitPrice", "Quantity").alias("lines"))
@@ -127,7 +127,7 @@ def _invoice_details(state: State, side: str) -> DataFrame:
 @registered(_detail_sql("all_invoice", "all_customer", "all_line"))
 def invoice_details_old(spark: SparkSession, folder: str) -> DataFrame:
     """Pages of three lines, so that most invoices have several."""
-    return _invoice_details(common.old_state(spark, folder), spec.OLD)
+    return _invoice_details(common.old_state(spark, folder), spec.OLD, tpch.line_invoices(spark, folder))
 
 
 @registered(_detail_sql("full_new_invoice", "full_new_customer", "full_new_line"))

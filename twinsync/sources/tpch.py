@@ -84,6 +84,11 @@ def old_invoice_line(spark: SparkSession, folder: str, extra: list[str] | None =
     )
 
 
+def line_invoices(spark: SparkSession, folder: str) -> DataFrame:
+    """``InvoiceId`` of all lines, which needs no numbers."""
+    return table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("InvoiceId"))
+
+
 def cdc_event(spark: SparkSession, folder: str) -> DataFrame:
     """Change events of all three entities with arrival order ``seq``."""
     events = table(spark, folder, "events").withColumn(
