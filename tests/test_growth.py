@@ -2,12 +2,16 @@
 
 import hashlib
 import os
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from twinsync import spec
 from twinsync.checks import all_queries, common
 from twinsync.functions.keys import number_rows, packed, unpacked
 from twinsync.operators import gate
+from twinsync.operators.apply import line_to_old
+from twinsync.operators.state import State
 from twinsync.session import cut
 
 EVENTS = "seq long, entity string, event_type string, aggregate_id string, payload string"
@@ -75,3 +79,30 @@ def test_a_state_holds_only_the_tables_that_were_read(spark, data):
 def test_lines_are_numbered_once(spark, data):
     plan = all_queries()["capture_old_line"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "lineitem" not in plan and "row_number" not in plan
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fates_need_no_ids_of_born_rows(spark):
+    state = State(spark)
+    lines = spark.createDataFrame(
+        [(1, "a", "c", "l1", "i1", 5, Decimal(1), 1), (2, "b", "c", "l2", "gone", 5, Decimal(1), 1)],
+        "seq long, unique_identifier string, op string, InvoiceLineId string, InvoiceId string, TrackId long, UnitPrice decimal(18,2), Quantity int")
+    state = state.replace(map_invoice=spark.createDataFrame([(9, "i1", None)], spec.TABLE_SCHEMAS["map_invoice"]),
+                          old_invoice=spark.createDataFrame([(9, *[None] * 8)], spec.TABLE_SCHEMAS["old_invoice"]))
+    changes = line_to_old(state, lines)
+    assert "Join" not in _plan(changes.outcomes) and "Join" not in _plan(changes.tables["processed_old"])
+    assert [(r["seq"], r["key"], r["outcome"]) for r in changes.outcomes.orderBy("seq").collect()] == [
+        (1, "l1", "applied"), (2, "l2", "dead:parent_missing")]
+    assert [tuple(r)[:4] for r in changes.tables["old_invoice_line"].select("InvoiceLineId", "InvoiceId", "TrackId", "Quantity").collect()] == [(1, 9, 5, 1)]
+    assert [(r["OldId"], r["NewId"]) for r in changes.tables["map_invoice_line"].collect()] == [(1, "l1")]
+    twice = line_to_old(state, lines.unionByName(lines))  # each copy of a creation takes an id, the greatest one stays
+    assert [r["InvoiceLineId"] for r in twice.tables["old_invoice_line"].collect()] == [2]
+    assert sorted(r["key"] for r in twice.outcomes.collect()) == ["l1"] * 4 + ["l2"] * 2
+
+
+def test_parents_of_lines_are_read_without_numbers(spark, data):
+    plan = _plan(all_queries()["invoice_details_old"](spark, data))
+    assert plan.count("concat_ws(|, cast(l_orderkey") <= 3  # the numbers, and the sizes of their buckets
