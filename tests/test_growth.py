@@ -12,6 +12,7 @@ from twinsync.functions.keys import number_rows, packed, unpacked
 from twinsync.operators import gate
 from twinsync.operators.apply import line_to_old
 from twinsync.operators.state import State
+from twinsync.plans.migration import id_mapping
 from twinsync.session import cut
 
 EVENTS = "seq long, entity string, event_type string, aggregate_id string, payload string"
@@ -106,3 +107,12 @@ def test_fates_need_no_ids_of_born_rows(spark):
 def test_parents_of_lines_are_read_without_numbers(spark, data):
     plan = _plan(all_queries()["invoice_details_old"](spark, data))
     assert plan.count("concat_ws(|, cast(l_orderkey") <= 3  # the numbers, and the sizes of their buckets
+
+
+def test_a_stored_table_that_only_looks_small_is_not_broadcast(spark):
+    """The driver would hold a million ids and digests, which the file packs into about a megabyte."""
+    mapping = id_mapping(cut(spark.range(1_000_000).select(F.col("id").alias("CustomerId"))), "customer", "CustomerId", F.lit("2024-02-01"))
+    joined = spark.range(4_000_000).withColumnRenamed("id", "OldId").join(mapping.select("OldId", "NewId"), "OldId", "left")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    few = cut(spark.range(100).withColumnRenamed("id", "OldId"))
+    assert "BroadcastHashJoin" in spark.range(4_000_000).withColumnRenamed("id", "OldId").join(few, "OldId")._jdf.queryExecution().executedPlan().toString()
