@@ -11,9 +11,11 @@ from twinsync.checks import all_queries, common
 from twinsync.functions.keys import number_rows, packed, unpacked
 from twinsync.operators import gate
 from twinsync.operators.apply import line_to_old
-from twinsync.operators.state import State
+from twinsync.operators.filters import first_of_identifier
+from twinsync.operators.state import State, merge_table
+from twinsync.operators.versions import stale_updates
 from twinsync.plans.migration import id_mapping
-from twinsync.session import cut
+from twinsync.session import FILE_ROWS, cut
 
 EVENTS = "seq long, entity string, event_type string, aggregate_id string, payload string"
 
@@ -116,3 +118,40 @@ def test_a_stored_table_that_only_looks_small_is_not_broadcast(spark):
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
     few = cut(spark.range(100).withColumnRenamed("id", "OldId"))
     assert "BroadcastHashJoin" in spark.range(4_000_000).withColumnRenamed("id", "OldId").join(few, "OldId")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_joins_with_an_empty_table_are_left_out(spark):
+    state = State(spark)
+    for name, schema in spec.TABLE_SCHEMAS.items():
+        assert state[name].schema == spark.createDataFrame([], schema).schema
+        assert state[name].count() == 0
+    delta = spark.range(3).select(F.col("id").cast("string").alias("NewId"), F.col("id").alias("OldId"), F.lit(False).alias("_deleted"))
+    merged = merge_table(state["map_customer"], delta, "NewId")
+    assert "Join" not in _plan(merged)
+    assert merged.count() == 3
+
+
+def test_only_repeated_identifiers_are_shuffled_whole(spark):
+    schema = "seq long, unique_identifier string"
+    events = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, None), (None, "c")], schema)
+    first = first_of_identifier(events)
+    assert "Exchange" not in first._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["seq"] for r in first.collect()) == [1, 2, 3, 4]
+    again = events.unionByName(spark.createDataFrame([(0, "b"), (0, "b"), (9, "a"), (None, None), (5, "c")], schema))
+    kept = [(r["seq"], r["unique_identifier"]) for r in first_of_identifier(again).collect()]
+    assert sorted(kept, key=str) == sorted([(1, "a"), (0, "b"), (0, "b"), (3, None), (4, None), (None, None), (5, "c")], key=str)
+
+
+def test_only_updates_meet_the_stamps(spark):
+    at = F.lit("2024-02-01").cast("timestamp")
+    events = spark.createDataFrame([(1, "c", "7"), (2, "u", "7"), (5, "u", "7"), (1, "u", "8"), (1, "d", "7")], "seq long, op string, aggregate_id string")
+    events = events.withColumn("event_time", at).withColumn("source_table", F.lit("t"))
+    stamps = spark.createDataFrame([("t|7", 4)], "RowName string, LastSeq long").withColumn("EventTime", at)
+    state = State(spark, {"row_versions": stamps})
+    assert [r["seq"] for r in stale_updates(events, state).collect()] == [2]
+    assert "Join" not in _plan(stale_updates(events, State(spark)))
+
+
+def test_scratch_files_hold_what_one_task_reads(spark):
+    rows = cut(spark.range(FILE_ROWS + 1).coalesce(1))
+    assert len(rows.inputFiles()) == 2 and rows.count() == FILE_ROWS + 1

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsync import spec
-from twinsync.operators.state import Changes, State
+from twinsync.operators.state import Changes, State, empty_table
 from twinsync.session import together
 
 _AUDIT = "batch bigint, kind string, at timestamp, events bigint, applied bigint, held bigint, dead bigint, run string, run_batch bigint"
@@ -101,7 +101,7 @@ class TableStore:
         if snapshot is not None and self._exists(base_path):
             base = self.spark.read.parquet(base_path)
         else:
-            base = self.spark.createDataFrame([], spec.TABLE_SCHEMAS[table])
+            base = empty_table(self.spark, spec.TABLE_SCHEMAS[table])
         paths = [p for b in batches if self._exists(p := f"{self.root}/{table}/batch={b}")]
         if not paths:
             return base
