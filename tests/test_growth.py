@@ -155,3 +155,13 @@ def test_only_updates_meet_the_stamps(spark):
 def test_scratch_files_hold_what_one_task_reads(spark):
     rows = cut(spark.range(FILE_ROWS + 1).coalesce(1))
     assert len(rows.inputFiles()) == 2 and rows.count() == FILE_ROWS + 1
+
+
+def test_changes_and_base_number_the_lines_once(spark, data):
+    common._made.clear()
+    base = common.base_state(spark, data)["old_invoice_line"]
+    for changes in (common.line_changes(spark, data), common.new_line_changes(spark, data)):
+        assert "row_number" not in _plan(changes) and "lineitem" not in _plan(changes)
+    ids = {r["InvoiceLineId"] for r in common.numbered_lines(spark, data)["old_invoice_line"].collect()}
+    assert ids == set(range(1, len(ids) + 1)) and {r["InvoiceLineId"] for r in base.collect()} < ids
+    common._made.clear()
